@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, sharding, url_filter
-from .stages import Stages
+from . import exact_dedup, mixing, near_dedup, quality_fm, sharding, url_filter
+from .stages import Stages, ship_code
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -22,6 +22,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("uid")
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    out = quality_fm.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), quality_fm.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), Stages(spark, "op4"))
     return out.drop("uid")
@@ -49,4 +57,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op10_url_filter)}
