@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality_fm, sharding, url_filter
+from . import exact_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
 from .stages import Stages, ship_code
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -22,6 +22,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("uid")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    docs = table(spark, sf_dir, "documents")
+    return secrets_cnn.find_secrets(docs, secrets_cnn.train(docs))
+
+
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_code(spark)
     docs = table(spark, sf_dir, "documents")
@@ -57,4 +63,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op10_url_filter)}
