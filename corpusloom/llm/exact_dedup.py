@@ -141,7 +141,7 @@ def exact_dedup(docs: DataFrame, stages: Stages, id_col: str = "doc_id", text_co
     if bad:
         raise RuntimeError(f"texts of different bytes share the SHA-256 digest {bad[0]['sha']}")
     best = suspects.groupBy("sha").agg(F.min(F.struct(-F.col("len"), F.col("id"), F.col("uid"))).alias("best"), F.count("*").alias("n"))
-    best = best.select("sha", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "n")
+    best = stages.write(best.select("sha", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "n"))  # so that the join below can split a hot group
     groups = suspects.select("uid", "id", "sha").join(best, "sha")
     alone = judged.filter("marked is null").select("uid", "id", "sha", F.col("id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(1).cast("long").alias("n"))
     out = alone.unionByName(groups)
