@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
+from . import embedding_dedup, exact_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
 from .stages import Stages, ship_code
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -55,6 +55,11 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), Stages(spark, "op9"))
+    return out.drop("uid")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     # listed: what campaign links (utm_source) point to, by canonical URL
@@ -63,4 +68,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op9_nn_descent, op10_url_filter)}
