@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
+from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
 from .stages import Stages, ship_code
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -46,6 +46,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), Stages(spark, "op7"))
+    return out.select("doc_id", "n_lines", "n_kept", "dropped")
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     d = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("grp"), F.length(text).alias("chars"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("lines"))
@@ -68,4 +73,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op8_kd_shards, op9_nn_descent, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op7_line_dedup, op8_kd_shards, op9_nn_descent, op10_url_filter)}
