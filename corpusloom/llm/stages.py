@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _local: dict[str, str] = {}
 
 
@@ -51,10 +52,17 @@ class Stages:
         self._n = 0
         self._paths: dict[int, str] = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows``: rows in a batch that Python gets, which bounds its memory where rows are wide."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        try:
+            if batch_rows:
+                self.spark.conf.set(_BATCH, batch_rows)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         self._keep = getattr(self, "_keep", [])
