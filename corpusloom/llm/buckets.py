@@ -12,7 +12,7 @@ from .stages import Stages
 
 #: Buckets of up to so many vertices are compared in full, larger ones with pivots.
 SMALL_BUCKET = 48
-PIVOTS = 8
+PIVOTS = 4
 ROUNDS = 6
 
 
@@ -41,19 +41,22 @@ def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]
         m = members.select("bucket", "vertex", "n").join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         if turn:
             m = m.filter(F.col("n") > SMALL_BUCKET)
-        seeds = [F.min_by("vertex", F.xxhash64("vertex", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        seeds = [F.min_by(F.struct("vertex", "component"), F.xxhash64("vertex", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
         mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *seeds).filter("lo <> hi")
         mixed = stages.write(mixed.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")))
         m = stages.write(m.join(mixed, "bucket"))
-        pairs = m.filter(F.col("n") > SMALL_BUCKET).select(F.col("vertex").alias("a"), F.explode("pivots").alias("b")).filter("a <> b")
+        pairs = m.filter(F.col("n") > SMALL_BUCKET).select(F.col("vertex").alias("a"), "component", F.explode("pivots").alias("p")).filter("component <> p.component").select("a", F.col("p.vertex").alias("b"))
         if not turn:
             small = m.filter(F.col("n") <= SMALL_BUCKET).select("bucket", "vertex", "component")
             other = small.select("bucket", F.col("vertex").alias("b"), F.col("component").alias("c"))
             pairs = small.join(other, "bucket").filter("vertex < b and component <> c").select(F.col("vertex").alias("a"), "b").union(pairs)
-        more = links_of(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        pairs = stages.write(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if not pairs.limit(1).count():
+            break
+        more = links_of(pairs)
         new = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         new = new.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).filter("ca <> cb").limit(1).count()
-        stages.drop(m)
+        stages.drop(m, pairs)
         if not new:
             break
         links = stages.write(links.union(more))

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
+from . import byte_bpe, embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
 from .stages import Stages, ship_code
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: The vocabulary of op6 and of the pipeline, a file of the installed tokenizers.
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +49,20 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def bpe_parameters(path: str = TOKENIZER) -> tuple[byte_bpe.Tables, str]:
+    """Rank tables of a vocabulary file, and the pattern that splits texts into words."""
+    import public_tokenizers
+
+    return byte_bpe.Tables(byte_bpe.load_ranks(public_tokenizers.path(path))), public_tokenizers.PATTERN
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, pattern = bpe_parameters()
+    out = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark, "op6"), tables, pattern)
+    out = byte_bpe.decode(out, tables)
+    return out.select("doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), Stages(spark, "op7"))
     return out.select("doc_id", "n_lines", "n_kept", "dropped")
@@ -73,4 +90,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op7_line_dedup, op8_kd_shards, op9_nn_descent, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_quality_fm, op4_exact_dedup, op5_mix_sources, op6_byte_bpe, op7_line_dedup, op8_kd_shards, op9_nn_descent, op10_url_filter)}
