@@ -1,6 +1,402 @@
-"""The registered queries over the reference tables and their SQL counterparts."""
+"""The registered queries over the whole driver tables, each beside its SQL in ``oracles``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as tx
+from corpusloom.operators import analysis, corpus, dedup, mixing, quality, sampling, tokens, vectors
+from corpusloom.session import ship_code
+
+from .oracles import ORACLE_SQL as ORACLE_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt to the cores: small tables are one file, which one task would read."""
+    d = table(spark, sf_dir, "documents")
+    return d.repartition(spark.sparkContext.defaultParallelism) if d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else d
+
+
+# -- quality ---------------------------------------------------------------------------------------------------------
+
+@query
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(quality.judged(documents(spark, sf_dir)))
+
+
+@query
+def quality_pass_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.judged(documents(spark, sf_dir)).filter("reason is null")
+    return d.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def reject_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir)).select("doc_id", "reason")
+
+
+@query
+def unfiltered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.judged(documents(spark, sf_dir), filtered=False)
+    return d.groupBy("source").agg(F.count_if(F.col("reason").isNull()).alias("written"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
+
+
+@query
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tx.strip(tx.text_or_empty(F.col("text")))
+    lines = tx.split_lines(t)
+    return documents(spark, sf_dir).select(
+        "doc_id", F.length(t).cast("long").alias("chars"), tx.count_digits(t).cast("long").alias("digits"), tx.count_any(t, tx.TURKISH).cast("long").alias("turkish"),
+        F.size(tx.words(tx.normalise(t))).cast("long").alias("words"), F.size(lines).cast("long").alias("lines"), F.size(F.array_distinct(lines)).cast("long").alias("distinct_lines"), F.octet_length(t).cast("long").alias("bytes"),
+    )
+
+
+@query
+def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.md5(tx.fold(F.col("text"))).alias("folded_md5"))
+
+
+@query
+def collapse_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    return d.select("doc_id", F.md5(tx.close_blank_lines(F.col("text"))).alias("text_md5"))
+
+
+# -- dedup -----------------------------------------------------------------------------------------------------------
+
+def _cut(spark: SparkSession):
+    """Cuts the lineage between passes: a checkpoint where the session has a folder that all executors share, else a cache."""
+    return (lambda d: d.checkpoint()) if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) else (lambda d: d.persist())
+
+
+@query
+def exact_dedup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalise(tx.text_or_empty(F.col("text")))).alias("key"))
+    return dedup.keep_first(d, F.col("key")).select("doc_id", "first_id")
+
+
+@query
+def simhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tx.text_or_empty(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", dedup.exact_hash(t).alias("full"), dedup.simhash(t).alias("sig"))
+
+
+@query
+def near_dup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_flags(documents(spark, sf_dir), cut=_cut(spark))
+
+
+@query
+def near_dup_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_flags(documents(spark, sf_dir), "blake2b", cut=_cut(spark))
+
+
+@query
+def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.summary(dedup.dedup_flags(documents(spark, sf_dir), cut=_cut(spark)))
+
+
+@query
+def dedup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    gone = dedup.dedup_flags(docs, cut=_cut(spark)).filter("exact_dup or near_dup")
+    kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").filter(tx.strip(F.col("text")) != "")
+    return kept.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+# -- mixing ----------------------------------------------------------------------------------------------------------
+
+LANGS, WEIGHTS, MIX_TARGET = ("en", "fr", "de"), (0.70, 0.20, 0.10), 200
+#: For the mixes, a lower share of Turkish letters lets English through.
+MIX_LIMITS = {"min_turkish": 0.0, "min_length": 100}
+
+
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.judged(documents(spark, sf_dir).select("doc_id", "lang", "text"), **MIX_LIMITS)
+    number = F.coalesce(*[F.when(F.col("lang") == lang, i) for i, lang in enumerate(LANGS)])
+    return d.select("doc_id", number.alias("source_id"), "reason").filter("source_id is not null").persist()  # narrow, and read several times
+
+
+@query
+def mix_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.mix(_sourced(spark, sf_dir).filter("reason is null"), WEIGHTS, MIX_TARGET)
+    return d.select("doc_id", "source_id", F.col("k").cast("long").alias("k"), "mix_pos")
+
+
+@query
+def mix_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.mix(_sourced(spark, sf_dir).filter("reason is null"), WEIGHTS, MIX_TARGET, whole_rounds=True)
+    return d.select("doc_id", "source_id", F.col("k").cast("long").alias("k"), "mix_pos")
+
+
+@query
+def mix_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.reject_counts(_sourced(spark, sf_dir), WEIGHTS, MIX_TARGET)
+
+
+@query
+def worker_limited_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.worker_limited(_sourced(spark, sf_dir).filter("reason is null").select("doc_id"), 8, MIX_TARGET // 8 + 1)
+    return d.select("doc_id", "worker", F.col("k").cast("long").alias("k"))
+
+
+@query
+def source_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.sources_table(spark, mixing.plan(mixing.QUALITY_SOURCES, mixing.QUALITY_TARGET, 15))
+
+
+@query
+def shard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.shards_table(spark, mixing.plan(mixing.FRESH_SOURCES, mixing.DEFAULT_TARGET, 15))
+
+
+@query
+def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.shard(table(spark, sf_dir, "documents").select("doc_id"), 30, list(range(8, 30, 8)))
+
+
+# -- corpus ----------------------------------------------------------------------------------------------------------
+
+@query
+def prefix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.prefix_sample(table(spark, sf_dir, "documents"), 1_000_000)
+
+
+@query
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.word_frequency(documents(spark, sf_dir))
+
+
+@query
+def pair_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pair_frequency(corpus.word_frequency(documents(spark, sf_dir), 1))
+
+
+# -- tokens ----------------------------------------------------------------------------------------------------------
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths as token ids, which SQL can repeat, and an end token."""
+    t = tx.words(tx.normalise(tx.text_or_empty(F.col("text"))))
+    return tokens.offsets(documents(spark, sf_dir).select("doc_id", tokens.with_eos(tokens.word_length_tokens(t)).alias("tokens")).persist())  # read for its bounds, its sums and its rows
+
+
+@query
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("doc_id", "n", "off")
+
+
+def _window_rows(w: DataFrame) -> DataFrame:
+    return w.select("win", *[F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) for c in ("x", "y")])
+
+
+@query
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window_rows(tokens.windows(_tokens(spark, sf_dir), 64, 64))
+
+
+@query
+def overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tokens.windows(tokens.stream_slice(_tokens(spark, sf_dir), 0, 100_000), 32, 8)
+    return d.select("win", F.aggregate("x", F.lit(0), lambda s, x: s + x).cast("long").alias("sum_x"), F.get("y", F.lit(31)).cast("long").alias("last_y"))
+
+
+@query
+def next_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = tokens.windows(_tokens(spark, sf_dir), 64, 64)
+    pairs = w.select(F.explode(F.arrays_zip("x", "y")).alias("p")).select(F.col("p.x").alias("tok"), F.col("p.y").alias("next_tok"))
+    return pairs.groupBy("tok", "next_tok").agg(F.count("*").alias("n"))
+
+
+@query
+def split_train_val(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _tokens(spark, sf_dir)
+    n = tokens.total(d)
+    at = tokens.split_point(n, 0.1)
+    parts = [tokens.stream_slice(d, a, b).select(F.lit(name).alias("part"), "doc_id", "off", "n") for name, a, b in (("train", 0, at), ("val", at, n))]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tokens.window_count(tokens.total(_tokens(spark, sf_dir)), 64, 64)
+    per_epoch, _ = analysis.steps(-(-n // 8), 4, 3)
+    epoch, _, skip = analysis.resume_position(per_epoch + per_epoch // 3, per_epoch, 4, 8)
+    return tokens.resume(spark.range(n).withColumnRenamed("id", "win"), skip, 42, epoch).select("win", F.col("rank").cast("long").alias("rank"))
+
+
+class WordPieces:
+    """A tokenizer for the statistics below: a vocabulary file of the installed tokenizers, else bytes."""
+
+    def __init__(self):
+        try:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            self.tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            self.tok.encode_special_tokens = True
+        except ImportError:
+            self.tok = None
+
+    def encode(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids if self.tok else list(text.encode())
+
+    def decode(self, ids: list[int]) -> str:
+        return self.tok.decode(ids) if self.tok else bytes(ids).decode()
+
+
+@query
+def bpe_encode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select("lang", "text", tokens.encoder(WordPieces, add_eos=True, eos=50256)("text").alias("ids"))
+    return d.groupBy("lang").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.sum(F.length("text")).cast("long").alias("chars"), F.round(F.sum(F.size("ids")) / F.sum(F.length("text")), 6).alias("tok_per_char"))
+
+
+# -- analysis --------------------------------------------------------------------------------------------------------
+
+@query
+def vocab_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars, words = table(spark, sf_dir, "documents").agg(F.sum(F.length("text")), F.sum(F.size(tx.words(tx.normalise(F.col("text")))))).first()
+    rows = [(i, v, v if v < 48000 else 47000, chars // (2 + i)) for i, v in enumerate((8000, 16000, 24000, 32000, 48000))]
+    return analysis.vocab_cost(spark.createDataFrame(rows, "ord int, vocab long, actual long, tokens long"), 640, 8, chars, words)
+
+
+@query
+def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.lr_schedule(spark, 1000, 0.02, 0.1)
+
+
+@query
+def layer_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.layer_placement(spark, 8, 12)
+
+
+@query
+def rope_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.rope_table(spark, 64, 32)
+
+
+@query
+def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 50).alias("step")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    return analysis.running_best(d)
+
+
+# -- sampling and vectors --------------------------------------------------------------------------------------------
+
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("step_id"), F.posexplode(vectors.doubles(F.col("embedding"))).alias("token_id", "logit"))
+
+
+def _history(logits: DataFrame) -> DataFrame:
+    """Every third token of a step, twice."""
+    h = logits.filter((F.col("step_id") + F.col("token_id")) % 3 == 0).select("step_id", "token_id")
+    return h.union(h)
+
+
+@query
+def rep_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _logits(spark, sf_dir)
+    return sampling.temperature(sampling.repetition_penalty(d, _history(d), 1.3), 0.8).select("step_id", "token_id", F.round("logit", 6).alias("logit"))
+
+
+@query
+def top_k_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _logits(spark, sf_dir).withColumn("logit", F.round("logit", 1))
+    return sampling.top_k(d, 5)
+
+
+@query
+def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.softmax(_logits(spark, sf_dir)).select("step_id", "token_id", F.round("p", 6).alias("p"))
+
+
+@query
+def top_p_nucleus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.top_p(sampling.softmax(sampling.temperature(_logits(spark, sf_dir), 0.05)), 0.9).select("step_id", "token_id", F.round("p", 6).alias("p"))
+
+
+@query
+def next_token_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _logits(spark, sf_dir)
+    return sampling.next_token(d, _history(d), 1.3, 0.1, 20, 0.9).select("step_id", "token_id", F.round("p", 6).alias("p"))
+
+
+@query
+def sampled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _logits(spark, sf_dir)
+    return sampling.draw(sampling.next_token(d, _history(d), 1.3, 0.1, 20, 0.9), 7)
+
+
+@query
+def masked_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _logits(spark, sf_dir)
+    t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("step_id"), (F.col("vec_id") % 7).cast("int").alias("target"))
+    return sampling.cross_entropy(d, t, pad_id=1)
+
+
+def _hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label as a sequence in the order of their ids; every fifth is masked at the end of its thousand."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("label").alias("seq_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"), (F.col("vec_id") % 5 != 0).cast("int").alias("mask"))
+
+
+
+@query
+def pool_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = vectors.pool_mean(_hidden(spark, sf_dir), 64)
+    return d.select("seq_id", F.posexplode("pooled").alias("i", "v")).select("seq_id", "i", F.round("v", 6).alias("v"))
+
+
+@query
+def pool_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    h = e.select((F.col("vec_id") / 8).cast("long").alias("seq_id"), (F.col("vec_id") % 8).alias("pos"), F.col("embedding").alias("vec"), (F.col("vec_id") % 8 < F.col("vec_id") / 8 % 8).cast("int").alias("mask"))
+    return vectors.pool_last(h).select("seq_id", F.posexplode("pooled").alias("i", "v")).select("seq_id", "i", F.round("v", 6).alias("v"))
+
+
+@query
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.normalised(F.col("embedding"))).alias("i", "v"))
+    return e.select("vec_id", "i", F.round("v", 6).alias("v"))
+
+
+@query
+def dot_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors.normalised(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("dot"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.dot(v, v), 6).alias("self_similarity"))
+
+
+@query
+def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.layer_norm(F.col("embedding"))).alias("i", "v"))
+    return e.select("vec_id", "i", F.round("v", 6).alias("v"), F.round(vectors.gelu(F.col("v")), 6).alias("gelu"))
+
+
+@query
+def rope_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.rotate(F.col("embedding"), F.col("vec_id") % 128)).alias("i", "v"))
+    return e.select("vec_id", "i", F.round("v", 6).alias("v"))
+
+
+@query
+def context_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _tokens(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 32))
+    d = d.withColumns({"left": vectors.keep_left(F.col("tokens"), 16), "right": vectors.keep_right(F.col("tokens"), 16)})
+    d = vectors.pad_batch(d, "batch", "tokens", pad_id=1, ctx=24)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x).cast("long")
+    return d.select("doc_id", total("left").alias("left_sum"), total("right").alias("right_sum"), total("padded").alias("padded_sum"), total("mask").alias("mask_sum"), F.size("padded").cast("long").alias("padded_len"))
