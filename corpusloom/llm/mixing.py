@@ -46,12 +46,65 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     return s.withColumn("target", target).drop("__cap", "__need", "__capped", "__left", "__level", "__full", "__final")
 
 
-def mix(docs: DataFrame, stages: Stages, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the columns that the mix goes by: ``__id``, ``__source``, ``__hash``, ``__key`` and ``__bucket``."""
+    d = docs.withColumns({"__id": F.col(id_col), "__source": F.col("source").cast("string"), "__hash": F.xxhash64(text_col)})
+    d = d.withColumn("__key", F.xxhash64(F.lit(seed), "__id", "__hash"))
+    return d.withColumn("__bucket", F.shiftrightunsigned("__key", 64 - BUCKET_BITS).cast("int"))
+
+
+def plan_mix(docs: DataFrame, stages: Stages, weights: Sequence[float], share: float, max_epochs: float, seed: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The decisions: a row for each source, rows of the buckets in which a target is reached, and all rows' sizes."""
+    d = _keyed(docs, seed, id_col, text_col)
+    d = stages.write(d.select("__id", "__source", "__hash", "__key", "__bucket", word_count(F.col(text_col)).alias("size")))
+    sums = d.groupBy("__source", "__bucket").agg(F.sum("size").alias("b_size"))
+    src = d.groupBy(F.col("__source").alias("source")).agg(F.sum("size").cast("double").alias("source_size"))
+    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    src = src.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
+    src = water_fill(src, share, max_epochs)
+    src = src.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
+    src = src.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumn("source_size", F.col("source_size").cast("long"))
+    src = stages.write(src.withColumnRenamed("source", "p_source"))
+
+    # the bucket in which the fractional part of the target is used up
+    of_source = F.col("__source").eqNullSafe(F.col("p_source"))
+    run = W.partitionBy("__source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)
+    cut = sums.withColumn("cum", F.sum("b_size").over(run)).join(src.select("p_source", "rest"), of_source).filter("cum > rest")
+    cut = cut.groupBy("__source").agg(F.min_by(F.struct("__bucket", (F.col("rest") - (F.col("cum") - F.col("b_size"))).alias("room")), "__bucket").alias("c"))
+    plan = src.join(cut.select("__source", F.col("c.__bucket").alias("cut"), "c.room"), of_source, "left").drop("__source")
+    plan = stages.write(plan.withColumns({"cut": F.coalesce("cut", F.lit(1 << BUCKET_BITS)), "room": F.coalesce("room", F.lit(0.0))}))
+
+    m = d.join(plan.select("p_source", "cut", "room"), of_source).drop("p_source")
+    inside = m.filter("__bucket = cut").withColumn("cum", F.sum("size").over(W.partitionBy("__source").orderBy("__key", "__id", "size").rowsBetween(W.unboundedPreceding, 0)))
+    inside = inside.withColumn("extra", F.when(F.col("cum") <= F.col("room"), 1).otherwise(0))
+    inside = stages.write(inside.withColumn("gap", F.col("room") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("cum"))).over(W.partitionBy("__source")), F.lit(0))))
+    # one more document closes the gap: the one whose size comes nearest, if it brings the mix nearer to its target
+    gap = inside.groupBy(F.col("__source").alias("p_source")).agg(F.first("gap").alias("gap"))
+    free = inside.filter("extra = 0").select("__id", "__source", "__key", "size").union(m.filter("__bucket > cut").select("__id", "__source", "__key", "size"))
+    free = free.filter("size > 0").join(gap, of_source).filter(F.col("size") <= 2 * F.col("gap"))
+    pick = free.groupBy("__source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "__key", "__id")).alias("pick"))
+    plan = stages.write(plan.join(pick.select("__source", F.col("pick.__key").alias("f_key"), F.col("pick.__id").alias("f_id")), of_source, "left").drop("__source"))
+    inside = inside.groupBy(F.col("__id").alias("i_id"), F.col("__hash").alias("i_hash"), F.col("__source").alias("i_source")).agg(F.min("extra").alias("extra"))
+    return plan, stages.write(inside), d
+
+
+def assign(rows: DataFrame, plan: DataFrame, inside: DataFrame) -> DataFrame:
+    """Add ``repeats`` and the source's numbers to keyed rows; only rows of the buckets at the targets are joined by row."""
+    r = rows.join(plan, F.col("__source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    apart = r.filter("__bucket <> cut").withColumn("extra", (F.col("__bucket") < F.col("cut")).cast("int"))
+    same = F.col("__id").eqNullSafe(F.col("i_id")) & (F.col("__hash") == F.col("i_hash")) & F.col("__source").eqNullSafe(F.col("i_source"))
+    at = r.filter("__bucket = cut").join(inside, same).drop("i_id", "i_hash", "i_source")
+    out = apart.unionByName(at.select(*apart.columns))
+    chosen = (F.col("__key") == F.col("f_key")) & F.col("__id").eqNullSafe(F.col("f_id")) & (F.col("extra") == 0)
+    return out.withColumn("repeats", (F.col("whole") + F.col("extra") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)).cast("long"))
+
+
+def mix(docs: DataFrame, stages: Stages, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How many words of every document the mix takes.
 
-    Returns per row of ``docs``: the id, ``text_hash``, ``source``, ``size``,
-    ``source_size``, ``target``, ``repeats`` (whole copies) and ``taken`` (their
-    words).  Sources sorted by code point, null last, have ``weights`` in turn.
+    Returns per row of ``docs``: the id, ``source``, ``size``, ``source_size``,
+    ``target``, ``repeats`` (whole copies) and ``taken`` (their words).  Sources
+    sorted by code point, null last, have ``weights`` in turn.
 
     A source's target divided by its size gives whole repetitions for each of its
     documents and a fractional one, which goes to documents in the order of a
@@ -63,39 +116,16 @@ def mix(docs: DataFrame, stages: Stages, weights: Sequence[float] = (3, 1, 2), s
     source whose sums are combined before the shuffle, and only the rows of the
     bucket in which the target is reached are sorted.
 
-    Null texts count as empty and have size 0; null sources form a source; empty
-    tables give no rows.  Identical rows repeat in the result with equal shares
-    where their copies do not straddle the target.
+    Null texts count as empty and have size 0; null sources form a source; equal
+    rows get equal shares; an empty table gives no rows.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    d = d.withColumn("key", F.xxhash64(F.lit(seed), "id", "text_hash")).withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS).cast("int"))
-    d = stages.write(d)
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"))
-    src = d.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    src = src.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
-    src = water_fill(src, share, max_epochs)
-    src = src.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
-    src = src.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumn("source_size", F.col("source_size").cast("long"))
-    src = stages.write(src)
+    plan, inside, sized = plan_mix(docs, stages, weights, share, max_epochs, seed, id_col, text_col)
+    out = assign(sized, plan, inside)
+    return out.select(F.col("__id").alias(id_col), F.col("__source").alias("source"), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
-    # the bucket in which the fractional part of the target is used up
-    run = W.partitionBy("source").orderBy("bucket")
-    cut = sums.withColumn("cum", F.sum("b_size").over(run.rowsBetween(W.unboundedPreceding, 0)))
-    cut = cut.join(src.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).filter("cum > rest").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("rest") - (F.col("cum") - F.col("b_size"))).alias("room")), "bucket").alias("c"))
-    plan = stages.write(src.join(cut.select(F.col("source").alias("s"), "c.bucket", "c.room"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.coalesce("bucket", F.lit(1 << BUCKET_BITS)).alias("cut"), F.coalesce("room", F.lit(0.0)).alias("room")))
-    m = d.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    inside = m.filter("bucket = cut").withColumn("cum", F.sum("size").over(W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)))
-    inside = inside.withColumn("extra", F.when(F.col("cum") <= F.col("room"), 1).otherwise(0)).withColumn("room", F.col("room") - F.coalesce(F.max(F.when(F.col("extra") == 1, F.col("cum"))).over(W.partitionBy("source")), F.lit(0)))
-    inside = stages.write(inside.drop("cum"))
-    others = m.filter("bucket <> cut").withColumn("extra", F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0)).drop("room")
-    # one more document closes the gap: the largest that fits, else the smallest if that comes nearer
-    gap = inside.groupBy("source").agg(F.first("room").alias("gap"))
-    rest = inside.drop("room").unionByName(others)
-    free = rest.filter("extra = 0 and size > 0 and bucket >= cut").join(gap.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source"))).filter(F.col("size") <= 2 * F.col("gap"))
-    pick = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "id")).alias("pick"))
-    pick = stages.write(pick.select(F.col("source").alias("f_source"), F.col("pick.key").alias("f_key"), F.col("pick.id").alias("f_id")))
-    out = rest.join(pick, (F.col("source").eqNullSafe(F.col("f_source"))), "left")
-    chosen = (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id")) & (F.col("extra") == 0)
-    out = out.withColumn("repeats", (F.col("whole") + F.col("extra") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)).cast("long"))
-    return out.select(F.col("id").alias(id_col), "text_hash", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+def mixed_documents(docs: DataFrame, stages: Stages, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as ``mix`` says; texts are not shuffled."""
+    plan, inside, _ = plan_mix(docs, stages, weights, share, max_epochs, seed, id_col, text_col)
+    out = assign(_keyed(docs, seed, id_col, text_col), plan, inside).filter("repeats > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import ship_code
+
 from .wordhash import SPAN, distinct_per_text, texts_of, word_hashes
 
 WORDS = 1 << 16
@@ -172,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col
     The sample is the rows with the smallest hashes of their ids, so it is the
     same in every run.  Without labelled rows the model gives 0.5 to everything.
     """
+    ship_code(docs.sparkSession)
     l = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("label"))
     l = l.orderBy(F.xxhash64("l_id"), "label").limit(max_rows)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _n_chars(docs))
@@ -220,7 +223,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     value of its own; repeated rows get equal scores; an empty table no rows.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _n_chars(docs), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
+    ship_code(docs.sparkSession)
     kinds = dict(d.dtypes)
     schema = f"id {kinds['id']}, score double" + "".join(f", c_{i} {kinds[f'c_{i}']}" for i in range(len(carry)))
     out = d.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(model)), schema)
     return out.withColumnsRenamed({f"c_{i}": c for i, c in enumerate(carry)})
+
+
+def _keep_rows(model, text_at: int, chars_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            n = batch.num_rows
+            chars = batch.column(chars_at) if chars_at >= 0 else pa.nulls(n, pa.float64())
+            scores = np.zeros(n)
+            for first, words, cuts, stats in features(batch.column(text_at), chars):
+                scores[first : first + len(cuts) - 1] = m.score(words, cuts, stats)
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return run
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose score is ``threshold`` or more, with all their columns."""
+    ship_code(docs.sparkSession)
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    return docs.mapInArrow(_keep_rows(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), chars, threshold), docs.schema)

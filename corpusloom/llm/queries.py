@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship_code
-
 from . import byte_bpe, embedding_dedup, exact_dedup, line_dedup, mixing, near_dedup, quality_fm, secrets_cnn, sharding, url_filter
 from .stages import Stages
 
@@ -28,13 +26,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_code(spark)
     docs = table(spark, sf_dir, "documents")
     return secrets_cnn.find_secrets(docs, secrets_cnn.train(docs))
 
 
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_code(spark)
     docs = table(spark, sf_dir, "documents")
     model = quality_fm.train(docs, table(spark, sf_dir, "labels"))
     out = quality_fm.score(docs, model)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import ship_code
+
 from .wordhash import SPAN, texts_of
 
 KINDS = ("assign", "access", "hex", "cnn")
@@ -286,6 +288,7 @@ def find_secrets(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col
     Null and empty texts have no spans; repeated rows repeat; a run of any length
     is judged whole, in overlapping windows; an empty table gives no rows.
     """
+    ship_code(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = d.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(net)), f"id {dict(d.dtypes)['id']}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)
