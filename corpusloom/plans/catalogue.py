@@ -79,11 +79,6 @@ def collapse_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- dedup -----------------------------------------------------------------------------------------------------------
 
-def _cut(spark: SparkSession):
-    """Cuts the lineage between passes: a checkpoint where the session has a folder that all executors share, else a cache."""
-    return (lambda d: d.checkpoint()) if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) else (lambda d: d.persist())
-
-
 @query
 def exact_dedup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalise(tx.text_or_empty(F.col("text")))).alias("key"))
@@ -98,23 +93,23 @@ def simhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_dup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_flags(documents(spark, sf_dir), cut=_cut(spark))
+    return dedup.dedup_flags(documents(spark, sf_dir))
 
 
 @query
 def near_dup_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_flags(documents(spark, sf_dir), "blake2b", cut=_cut(spark))
+    return dedup.dedup_flags(documents(spark, sf_dir), "blake2b")
 
 
 @query
 def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.summary(dedup.dedup_flags(documents(spark, sf_dir), cut=_cut(spark)))
+    return dedup.summary(dedup.dedup_flags(documents(spark, sf_dir)))
 
 
 @query
 def dedup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    gone = dedup.dedup_flags(docs, cut=_cut(spark)).filter("exact_dup or near_dup")
+    gone = dedup.dedup_flags(docs).filter("exact_dup or near_dup")
     kept = docs.join(gone.select("doc_id"), "doc_id", "left_anti").filter(tx.strip(F.col("text")) != "")
     return kept.select("doc_id", F.md5("text").alias("text_md5"))
 
