@@ -1,67 +1,5 @@
-"""Durable stage tables in the folder that all executors share."""
+"""Durable stage tables, as the rest of the library has them."""
 
-from __future__ import annotations
+from corpusloom.plans.stages import Stages, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from corpusloom.session import ship_code
-
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="corpusloom-")
-    return _local[app]
-
-
-class Stages:
-    """Writes stage tables and forgets them.
-
-    ``write`` cuts the lineage: a lost executor costs a re-read of shared files,
-    never a recomputation of the stages before.  ``drop`` removes tables that no
-    later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship_code(spark)
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-        self._paths: dict[int, str] = {}
-
-    def write(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
-        """``batch_rows``: rows in a batch that Python gets, which bounds its memory where rows are wide."""
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}"
-        before = self.spark.conf.get(_BATCH)
-        try:
-            if batch_rows:
-                self.spark.conf.set(_BATCH, batch_rows)
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(_BATCH, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        self._keep = getattr(self, "_keep", [])
-        self._keep.append(out)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete stage tables; only for tables that no pending plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            path = self._paths.pop(id(table), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+__all__ = ["Stages", "shared_dir"]
