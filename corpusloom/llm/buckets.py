@@ -7,41 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .components import connected_components
 from .stages import Stages
 
 #: Buckets of up to so many vertices are compared in full, larger ones with pivots.
-SMALL_BUCKET = 48
-PIVOTS = 4
-ROUNDS = 6
+SMALL_BUCKET = 16
+PIVOTS = 2
+ROUNDS = 4
 
 
 def shared_buckets(keyed: DataFrame, stages: Stages) -> DataFrame:
-    """``(bucket, vertex, n, pivot)`` of the buckets that hold more than one vertex.
+    """``(bucket, vertex, n, mass)`` of the buckets that hold more than one vertex.
 
-    The table of buckets is written before the join, so that AQE can split a hot
-    bucket's members.
+    ``mass`` is the number of others that a vertex meets in all its buckets: the
+    text that others are copies of has more than its copies.  A bounded Bloom filter
+    of the shared buckets keeps most others out of the second shuffle.  Their table
+    is written before the join, so that AQE can split a hot bucket's members.
     """
-    shared = stages.write(keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1"))
-    return stages.write(keyed.join(shared, "bucket"))
+    shared = stages.write(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    n_blocks = bloom.n_blocks_for(shared.count())
+    some = bloom.probe(keyed, "bucket", bloom.build(shared, "bucket", n_blocks), n_blocks, "maybe").filter("maybe").drop("maybe")
+    members = stages.write(some.join(shared, "bucket"))
+    mass = stages.write(members.groupBy("vertex").agg(F.sum(F.col("n") - 1).alias("mass")))
+    return stages.write(members.join(mass, "vertex"))
 
 
 def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], stages: Stages) -> DataFrame:
     """Components ``(id, component)`` of the verified links within buckets.
 
-    ``links_of`` verifies a table of pairs ``(a, b)``.  First each member is paired
-    with the smallest vertex of its bucket.  Buckets that then still hold several
-    components get a second look: small ones are compared in full across their
-    components, members of large ones with pseudo-random pivots of other
-    components, anew until a round brings no link (at most ``ROUNDS`` times).
+    ``links_of`` verifies a table of pairs ``(a, b)``.  First each vertex is paired
+    with the one of greatest mass that it meets, once: a copy with its original.
+    Buckets that then still hold several components get a second look: members are
+    paired with the bucket's vertex of greatest mass, small buckets are compared in
+    full, and members of large ones with pseudo-random pivots, always across
+    components only; for large buckets anew until a round brings no link (at most
+    ``ROUNDS`` times).
     """
-    links = links_of(members.filter("vertex <> pivot").select(F.col("vertex").alias("a"), F.col("pivot").alias("b")))
+    heavy = F.struct("mass", "vertex")
+    hubs = stages.write(members.groupBy("bucket").agg(F.max(heavy).alias("hub")))
+    best = members.select("bucket", "vertex").join(hubs, "bucket").groupBy("vertex").agg(F.max("hub").alias("hub"))
+    links = links_of(best.select(F.col("vertex").alias("a"), F.col("hub.vertex").alias("b")).filter("a <> b"))
     labels = stages.write(connected_components(links, stages))
     for turn in range(ROUNDS):
-        m = members.select("bucket", "vertex", "n").join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+        m = members.join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
         if turn:
             m = m.filter(F.col("n") > SMALL_BUCKET)
-        seeds = [F.min_by(F.struct("vertex", "component"), F.xxhash64("vertex", F.lit(turn * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivot = F.struct("vertex", "component")
+        seeds = [(F.min_by(pivot, F.xxhash64("vertex", F.lit(turn * PIVOTS + i))) if turn or i else F.max_by(pivot, heavy)).alias(f"p{i}") for i in range(PIVOTS)]
         mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *seeds).filter("lo <> hi")
         mixed = stages.write(mixed.select("bucket", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("pivots")))
         m = stages.write(m.join(mixed, "bucket"))
@@ -49,7 +62,7 @@ def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]
         if not turn:
             small = m.filter(F.col("n") <= SMALL_BUCKET).select("bucket", "vertex", "component")
             other = small.select("bucket", F.col("vertex").alias("b"), F.col("component").alias("c"))
-            pairs = small.join(other, "bucket").filter("vertex < b and component <> c").select(F.col("vertex").alias("a"), "b").union(pairs)
+            pairs = small.join(other, "bucket").filter("vertex < b and component <> c").select(F.col("vertex").alias("a"), "b").union(pairs)  # at most 16 a bucket
         pairs = stages.write(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         if not pairs.limit(1).count():
             break
