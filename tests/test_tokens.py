@@ -59,7 +59,7 @@ def test_prefix(spark):
             at += len(t.encode()) + 2
             if at <= limit:
                 want.append(i)
-        assert kept == want and len(data) == 15
+        assert kept == want and len(data) == 14
     assert corpus.prefix_cut(b"ab\n\ncd", 100) == 2
     assert corpus.prefix_cut("aé".encode(), 2) == 1 and corpus.prefix_cut(b"ab\r\n\r\ncd", 100) == 2
     assert "é😀".encode()[: corpus.prefix_cut("é😀".encode(), 4)].decode() == "é"
