@@ -24,7 +24,7 @@ NONE = 1 << 30
 MARK = 1 << 31
 _ID_BITS = 20
 #: Words whose ids go to the tasks as a literal, at most; all others are folded where they stand.
-DICTIONARY = 1 << 18
+DICTIONARY = 1 << 17
 #: Documents, about, whose words are counted to choose them.  Neither bound has a part in the results.
 SAMPLE_DOCS = 20_000
 
@@ -140,17 +140,26 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
             break
         least = r["bin"]
     frequent = counts.filter(F.floor(F.log2("n") * 8) >= F.lit(least)) if least is not None else counts.limit(0)
-    buckets = 1 << 17
-    known = encode_words(frequent.repartition(64, "word"), tables).select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"), "word", "ids").toArrow().to_pydict()
-    keys: list[list[str]] = [[] for _ in range(buckets)]
-    values: list[list[str]] = [[] for _ in range(buckets)]
-    for at, word, ids in zip(known["at"], known["word"], known["ids"], strict=True):
-        keys[at].append(word)
-        values[at].append(ids)
+    buckets = 1 << 16
+    known = encode_words(frequent.repartition(24, "word"), tables).select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"), "word", "ids").toArrow().sort_by("at")
+    # the literals travel as two strings, which the optimizer parses once
+    keys, values = (_nested_json(known["at"], known[c], buckets) for c in ("word", "ids"))
     at = f"cast(pmod(xxhash64(w), {buckets}) as int)"
-    look = f"get(get({_json(values, 'array<array<string>>')}, {at}), cast(array_position(get({_json(keys, 'array<array<string>>')}, {at}), w) as int) - 1)"
+    look = f"get(get(__values, {at}), cast(array_position(get(__keys, {at}), w) as int) - 1)"
     ids = f"array_join(transform({words_of('__text', pattern)}, w -> coalesce({look}, array_join({tables.fold('w')}, ','))), ',')"
-    return docs.drop("ids").withColumn("__text", text).withColumn("ids", F.expr(ids)).drop("__text")
+    d = docs.drop("ids").withColumns({"__text": text, "__keys": F.from_json(F.lit(keys), "array<array<string>>"), "__values": F.from_json(F.lit(values), "array<array<string>>")})
+    return d.withColumn("ids", F.expr(ids)).drop("__text", "__keys", "__values")
+
+
+def _nested_json(at, values, n: int) -> str:
+    """A JSON list of ``n`` lists: value i of the sorted column ``at`` goes to list ``at[i]``."""
+    import numpy as np
+
+    ends = np.searchsorted(at.to_numpy(), np.arange(n + 1))
+    parts = []
+    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        parts.append(json.dumps(values.slice(a, z - a).to_pylist(), separators=(",", ":")) if z > a else "[]")
+    return "[" + ",".join(parts) + "]"
 
 
 def n_tokens(ids: Column) -> Column:
