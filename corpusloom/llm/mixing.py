@@ -127,5 +127,7 @@ def mix(docs: DataFrame, stages: Stages, weights: Sequence[float] = (3, 1, 2), s
 def mixed_documents(docs: DataFrame, stages: Stages, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as ``mix`` says; texts are not shuffled."""
     plan, inside, _ = plan_mix(docs, stages, weights, share, max_epochs, seed, id_col, text_col)
-    out = assign(_keyed(docs, seed, id_col, text_col), plan, inside).filter("repeats > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # columns of any name travel in a struct, apart from those of the plan
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col), F.col("source"), F.col(text_col))
+    out = assign(_keyed(whole, seed, id_col, text_col).drop(id_col, "source", text_col), plan, inside).filter("repeats > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select("__doc.*")

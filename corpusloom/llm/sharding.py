@@ -22,11 +22,11 @@ def log_bins(value: Column) -> Column:
 
 def _splits(rows: DataFrame, nodes: dict[int, list[float]], n_dims: int) -> dict[int, tuple[int, int, int]]:
     """For every node to be split: dimension, bin and tie bucket of the weighted median (of its shards' quotas)."""
-    active = rows.filter(F.col("node").isin(list(nodes)))
-    hist = active.select("node", "weight", F.posexplode("dims").alias("dim", "bin")).groupBy("node", "dim", "bin").agg(F.sum("weight").alias("w")).collect()  # at most nodes x dimensions x 1,024 rows
+    active = rows.filter(F.col("__node").isin(list(nodes)))
+    hist = active.select("__node", "__weight", F.posexplode("__dims").alias("dim", "bin")).groupBy("__node", "dim", "bin").agg(F.sum("__weight").alias("w")).collect()  # at most nodes x dimensions x 1,024 rows
     by: dict[tuple[int, int], dict[int, float]] = {}
     for r in hist:
-        by.setdefault((r["node"], r["dim"]), {})[r["bin"]] = r["w"]
+        by.setdefault((r["__node"], r["dim"]), {})[r["bin"]] = r["w"]
     out, ties = {}, {}
     for node, quotas in nodes.items():
         spread = {d: (max(h) - min(h)) for d in range(n_dims) if (h := by.get((node, d)))}
@@ -44,11 +44,11 @@ def _splits(rows: DataFrame, nodes: dict[int, list[float]], n_dims: int) -> dict
     if ties:
         at = F.create_map(*[F.lit(x) for n, (d, _, _) in ties.items() for x in (n, d)])
         cut = F.create_map(*[F.lit(x) for n, (_, b, _) in ties.items() for x in (n, b)])
-        inside = active.filter(F.col("node").isin(list(ties))).filter(F.get("dims", F.element_at(at, F.col("node"))) == F.element_at(cut, F.col("node")))
-        fine = inside.groupBy("node", F.shiftrightunsigned("tie", 64 - TIE_BITS).cast("int").alias("t")).agg(F.sum("weight").alias("w")).collect()  # at most nodes x 4,096 rows
+        inside = active.filter(F.col("__node").isin(list(ties))).filter(F.get("__dims", F.element_at(at, F.col("__node"))) == F.element_at(cut, F.col("__node")))
+        fine = inside.groupBy("__node", F.shiftrightunsigned("__tie", 64 - TIE_BITS).cast("int").alias("t")).agg(F.sum("__weight").alias("w")).collect()  # at most nodes x 4,096 rows
         weights: dict[int, dict[int, float]] = {}
         for r in fine:
-            weights.setdefault(r["node"], {})[r["t"]] = r["w"]
+            weights.setdefault(r["__node"], {})[r["t"]] = r["w"]
         for node, (dim, b, room) in ties.items():
             t_cut, seen = 0, 0.0
             for t in sorted(weights.get(node, {})):
@@ -82,15 +82,15 @@ def kd_shards(df: DataFrame, stages: Stages, dims: Mapping[str, Column], weight:
     names = set(map(str.lower, df.columns))
     if "shard" in names:
         df = df.drop("shard")
-    d = df.withColumns({"node": F.lit(1), "weight": weight.cast("double"), "tie": group, "dims": F.array(*[c.cast("int") for c in dims.values()])})
-    total = d.agg(F.sum("weight")).first()[0] or 0.0
+    d = df.withColumns({"__node": F.lit(1), "__weight": weight.cast("double"), "__tie": group, "__dims": F.array(*[c.cast("int") for c in dims.values()])})
+    total = d.agg(F.sum("__weight")).first()[0] or 0.0
     n = n_shards or max(1, -(-int(total) // int(target_bytes)))
-    heavy = d.groupBy("tie").agg(F.sum("weight").alias("w")).filter(F.col("w") > total / n / 64).collect()  # fewer than 64 n rows
+    heavy = d.groupBy("__tie").agg(F.sum("__weight").alias("w")).filter(F.col("w") > total / n / 64).collect()  # fewer than 64 n rows
     load, place = [0.0] * n, {}
-    for r in sorted(heavy, key=lambda r: (-r["w"], r["tie"])):
+    for r in sorted(heavy, key=lambda r: (-r["w"], r["__tie"])):
         s = min(range(n), key=lambda i: (load[i], i))
         load[s] += r["w"]
-        place[r["tie"]] = s
+        place[r["__tie"]] = s
     # what the tree adds to each shard: the level at which the lighter ones meet
     rest, open_ = total - sum(load), sorted(load)
     level = next((lv for i in range(n, 0, -1) if (lv := (rest + sum(open_[:i])) / i) >= open_[i - 1]), 0.0)
@@ -98,11 +98,11 @@ def kd_shards(df: DataFrame, stages: Stages, dims: Mapping[str, Column], weight:
     leaves = {1: [i for i in range(n) if quota[i] > 0] or [0]}
     if place:
         spark = df.sparkSession
-        big = spark.createDataFrame([(int(t), int(s)) for t, s in place.items()], "b_tie long, b_shard int")
-        d = d.join(F.broadcast(big), F.col("tie") == F.col("b_tie"), "left").drop("b_tie")  # fewer than 64 n rows
-        d = d.withColumn("node", F.when(F.col("b_shard").isNotNull(), 0).otherwise(1))
+        big = spark.createDataFrame([(int(t), int(s)) for t, s in place.items()], "__b_tie long, __b_shard int")
+        d = d.join(F.broadcast(big), F.col("__tie") == F.col("__b_tie"), "left").drop("__b_tie")  # fewer than 64 n rows
+        d = d.withColumn("__node", F.when(F.col("__b_shard").isNotNull(), 0).otherwise(1))
     else:
-        d = d.withColumn("b_shard", F.lit(None).cast("int"))
+        d = d.withColumn("__b_shard", F.lit(None).cast("int"))
     while True:
         split = {k: v for k, v in leaves.items() if len(v) > 1}
         if not split:
@@ -110,16 +110,16 @@ def kd_shards(df: DataFrame, stages: Stages, dims: Mapping[str, Column], weight:
         d_old, d = d, stages.write(d)
         cuts = _splits(d, {k: [quota[i] for i in v] for k, v in split.items()}, len(dims))
         nxt = {k: v for k, v in leaves.items() if k not in split}
-        node = F.col("node")
+        node = F.col("__node")
         for k, v in split.items():
             nxt[2 * k], nxt[2 * k + 1] = v[: len(v) // 2], v[len(v) // 2 :]
             dim, b, t = cuts.get(k, (0, 0, 0))
-            at = F.get("dims", F.lit(dim))
-            right = (at > b) | ((at == b) & (F.shiftrightunsigned("tie", 64 - TIE_BITS) >= t))
-            node = F.when(F.col("node") == k, F.when(right, 2 * k + 1).otherwise(2 * k)).otherwise(node)
-        d, leaves = d.withColumn("node", node), nxt
-    shard = F.element_at(F.create_map(*[F.lit(x) for k, v in leaves.items() for x in (k, v[0])]), F.col("node"))
-    return d.withColumn("shard", F.coalesce("b_shard", shard)).drop("node", "weight", "tie", "dims", "b_shard")
+            at = F.get("__dims", F.lit(dim))
+            right = (at > b) | ((at == b) & (F.shiftrightunsigned("__tie", 64 - TIE_BITS) >= t))
+            node = F.when(F.col("__node") == k, F.when(right, 2 * k + 1).otherwise(2 * k)).otherwise(node)
+        d, leaves = d.withColumn("__node", node), nxt
+    shard = F.element_at(F.create_map(*[F.lit(x) for k, v in leaves.items() for x in (k, v[0])]), F.col("__node"))
+    return d.withColumn("shard", F.coalesce("__b_shard", shard)).drop("__node", "__weight", "__tie", "__dims", "__b_shard")
 
 
 def with_slots(df: DataFrame, order: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ def edge_docs(spark):
     """Nulls in every column, empty and white texts, a long text, repeated rows, clashing names."""
     rows = [(0, None, "a", None), (1, "", None, 0), (2, " \t\n", "a", 3), (3, "x", "b", 1), (3, "x", "b", 1), (None, "x", None, None), (4, "long " * 30000, "b", 150000), (5, "a" * 70000, "b", 70000), (6, "é😀 İ", "c", 4)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    return d.withColumns({"shard": F.lit(9), "uid": F.lit(1), "id": F.lit(2), "kept": F.lit(True), "size": F.lit(0), "ids": F.lit("z"), "key": F.lit(1), "lang": F.lit("xx")})
+    return d.withColumns({"shard": F.lit(9), "uid": F.lit(1), "id": F.lit(2), "kept": F.lit(True), "size": F.lit(0), "ids": F.lit("z"), "key": F.lit(1), "lang": F.lit("xx"), "target": F.lit(1), "cut": F.lit(1), "node": F.lit(1), "weight": F.lit(1), "repeats": F.lit(3), "vertex": F.lit(1), "component": F.lit(1), "score": F.lit(1)})
 
 
 def test_word_hashes_in_spans(monkeypatch):
@@ -338,7 +338,7 @@ def test_shards_edges(spark):
     for d in (edge_docs(spark), edge_docs(spark).limit(0)):
         text = F.coalesce("text", F.lit(""))
         out = sharding.kd_shards(d.withColumn("size", F.octet_length(text) + 1), stages(spark), {"b": sharding.log_bins(F.octet_length(text))}, F.col("size"), F.xxhash64(text), target_bytes=100_000)
-        assert out.count() == d.count()
+        assert out.count() == d.count() and set(out.columns) == {*d.columns, "size"}
 
 
 # -- embeddings ------------------------------------------------------------------------------------------------------
