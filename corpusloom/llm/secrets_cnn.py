@@ -243,16 +243,18 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan_text(text: str, net: Network | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and those that the network adds."""
+def scan_text(text: str, net: Network) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
+    """Base spans, those that the network adds, and how many base spans it would not have found."""
     base = base_spans(text)
-    more = []
-    if net is not None and (runs := candidates(text, base)):
-        parts = [windows(text, s, e) for s, e in runs]
-        p = net.probability([w for ws in parts for w in ws])
-        cuts = np.cumsum([0, *map(len, parts)])
-        more = [(s, e, "cnn") for i, (s, e) in enumerate(runs) if p[cuts[i] : cuts[i + 1]].max() >= net.threshold]
-    return base, more
+    runs = [(s, e) for s, e, _ in base] + candidates(text, base)
+    if not runs:
+        return base, [], 0
+    parts = [windows(text, s, e) for s, e in runs]
+    p = net.probability([w for ws in parts for w in ws])
+    cuts = np.cumsum([0, *map(len, parts)])
+    sure = [bool(p[a:b].max() >= net.threshold) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    more = [(s, e, "cnn") for (s, e), ok in zip(runs[len(base) :], sure[len(base) :], strict=True) if ok]
+    return base, more, sure[: len(base)].count(False)
 
 
 def _scan(net):
@@ -262,16 +264,16 @@ def _scan(net):
         model = net.value
         for batch in batches:
             n = batch.num_rows
-            counts = np.zeros((4, n), np.int64)
+            counts = np.zeros((5, n), np.int64)
             digest, spans = [nothing] * n, [""] * n
             for i in np.flatnonzero(_flags(batch.column(1))):
-                base, more = scan_text(batch.column(1)[int(i)].as_py() or "", model)
+                base, more, counts[4, i] = scan_text(batch.column(1)[int(i)].as_py() or "", model)
                 for _, _, k in base + more:
                     counts[KINDS.index(k), i] += 1
                 if base:
                     digest[i] = hashlib.sha256(_joined(base).encode()).hexdigest()
                 spans[i] = _joined(sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_cnn", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_cnn", "n_doubted", "base_sha256", "spans"])
 
     return run
 
@@ -279,16 +281,18 @@ def _scan(net):
 def find_secrets(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets in every whole text: counts by kind, a digest of the base spans, and all spans.
 
+    ``n_doubted`` counts base spans that the network alone would not have reported.
+
     Spans are ``kind:start:end`` in code points, ends exclusive.  Base findings
     (assignments, access keys, long hexadecimal numbers) stay whatever the network
-    says; it judges every other unbroken run of 20 or more characters with letters
-    and digits, together with 24 characters on either side, and adds those at or
-    above its threshold as ``cnn``.
+    says; it judges them and every other unbroken run of 20 or more characters with letters
+    and digits, together with 24 characters on either side, and adds those of
+    the others at or above its threshold as ``cnn``.
 
     Null and empty texts have no spans; repeated rows repeat; a run of any length
     is judged whole, in overlapping windows; an empty table gives no rows.
     """
     ship_code(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = d.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(net)), f"id {dict(d.dtypes)['id']}, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
+    out = d.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(net)), f"id {dict(d.dtypes)['id']}, n_assign long, n_access long, n_hex long, n_cnn long, n_doubted long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)
