@@ -1,13 +1,40 @@
 """DuckDB counterparts of the queries that SQL can express.
 
-op2, op3, op5, op6, op7, op8, op9 and the pipeline depend on trained models,
-seeded hashes or iteration; tests hold them against brute force instead.
+op2, op3, op5, op6, op7, op8 and the pipeline depend on trained models, seeded
+hashes or rank merges, or are too slow in SQL; tests hold them against brute
+force instead.
 """
 
 from __future__ import annotations
 
 _SPACE = r"[\x20\x09-\x0D]"
 
+#: All pairs of documents that share a run of five words, and what their links reach.
+OP1 = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+sh as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where c / (p.n + q.n - c) >= 0.8),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y),
+class as (select doc_id, least(doc_id, coalesce(min(y), doc_id)) as class_id from documents left join reach on x = doc_id group by doc_id)
+select doc_id, class_id, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept from class
+"""
+
+OP9 = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y),
+c as (select vec_id, least(vec_id, coalesce(min(y), vec_id)) as component_id from v left join reach on x = vec_id group by vec_id),
+d as (select vec_id, count(y) as n_links from v left join links on x = vec_id group by vec_id)
+select vec_id, n_links, component_id, vec_id = component_id as kept from c join d using (vec_id)
+"""
+
 OP4 = rf"""
 with t as (
   select doc_id, length(coalesce(text, '')) as len,
@@ -44,4 +71,4 @@ select page_id, host, path, rule,
 from r left join listed l on l.canonical = r.canonical
 """
 
-ORACLE_SQL = {"op4_exact_dedup": OP4, "op10_url_filter": OP10}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op9_nn_descent": OP9, "op4_exact_dedup": OP4, "op10_url_filter": OP10}
