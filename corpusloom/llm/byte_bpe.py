@@ -17,12 +17,14 @@ from .stages import Stages
 
 #: Unicode white space, as the split pattern's \s means it; Java's own \s is ASCII only.
 _WS = r"\t-\r\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BUCKET_BITS = 16
+_BUCKET_BITS = 14
 #: Stands for "no rank": above all ranks.
 NONE = 1 << 30
 #: Stands for a rank that is to be looked up anew.
 MARK = 1 << 31
 _ID_BITS = 20
+#: The literals of a fold.
+FOLD = ("__bytes", "__pairs", "__keys", "__ranks")
 #: Words whose ids go to the tasks as a literal, at most; all others are folded where they stand.
 DICTIONARY = 1 << 17
 #: Documents, about, whose words are counted to choose them.  Neither bound has a part in the results.
@@ -40,13 +42,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _json(name: object, kind: str) -> str:
-    text = json.dumps(name, separators=(",", ":")).replace("\\", "\\\\").replace("'", "\\'")
-    return f"from_json('{text}', '{kind}')"
-
-
 class Tables:
-    """The literals: ids of single bytes, ranks of pairs by hash bucket, bytes of ids."""
+    """The literals: ids of single bytes, ranks of pairs by hash bucket, bytes of ids.
+
+    They travel as strings that the optimizer parses once: ``on`` adds them as
+    columns, each used in one place, which it replaces by the values.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.size = max(ranks.values()) + 1
@@ -63,16 +64,17 @@ class Tables:
         pieces = [""] * self.size
         for token, rank in ranks.items():
             pieces[rank] = token.hex().upper()
-        self.bytes = _json([ranks[bytes([b])] for b in range(256)], "array<bigint>")
         pairs = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-        self.byte_pairs = _json(pairs, "array<int>")
-        self.keys, self.values = _json(keys, "array<array<bigint>>"), _json(values, "array<array<int>>")
-        self.pieces = _json(pieces, "array<string>")
+        lists = {"__bytes": ([ranks[bytes([b])] for b in range(256)], "array<bigint>"), "__pairs": (pairs, "array<int>"), "__keys": (keys, "array<array<bigint>>"), "__ranks": (values, "array<array<int>>"), "__pieces": (pieces, "array<string>")}
+        self.json = {name: (json.dumps(x, separators=(",", ":")), kind) for name, (x, kind) in lists.items()}
+
+    def on(self, df: DataFrame, *names: str) -> DataFrame:
+        return df.withColumns({n: F.from_json(F.lit(self.json[n][0]), self.json[n][1]) for n in names})
 
     def rank(self, a: str, b: str) -> str:
         """Rank of a pair of ids; ``NONE`` for a pair that does not merge or has no right half."""
         at = f"cast(({a} * 40503L + {b} * 9973L) & {(1 << _BUCKET_BITS) - 1}L as int)"
-        return f"coalesce(get(get({self.values}, {at}), cast(array_position(get({self.keys}, {at}), shiftleft({a}, {_ID_BITS}) | {b}) as int) - 1), {NONE})"
+        return f"coalesce(get(get(__ranks, {at}), cast(array_position(get(__keys, {at}), shiftleft({a}, {_ID_BITS}) | {b}) as int) - 1), {NONE})"
 
     def fold(self, word: str) -> str:
         """Token ids of one word (array<bigint>): the fold of ranked merges over its bytes.
@@ -83,7 +85,7 @@ class Tables:
         """
         rank_of, id_of, mark = lambda x: f"shiftright({x}, {_ID_BITS})", lambda x: f"({x} & {(1 << _ID_BITS) - 1}L)", f"{MARK << _ID_BITS}L"
         codes = f"transform(split(decode(cast({word} as binary), 'ISO-8859-1'), ''), c -> ascii(c))"
-        first = f"transform(array({codes}), c -> transform(c, (x, i) -> shiftleft(cast(coalesce(get({self.byte_pairs}, x * 256 + get(c, i + 1)), {NONE}) as bigint), {_ID_BITS}) | get({self.bytes}, x)))[0]"
+        first = f"transform(array({codes}), c -> transform(c, (x, i) -> shiftleft(cast(coalesce(get(__pairs, x * 256 + get(c, i + 1)), {NONE}) as bigint), {_ID_BITS}) | get(__bytes, x)))[0]"
         # an occurrence of the lowest pair that follows another has its turn in a later round
         short = f"""transform(e, (x, i) -> CASE
             WHEN {rank_of('x')} = m THEN if(coalesce({rank_of('get(e, i - 1)')} = m, false), if(coalesce({rank_of('get(e, i - 2)')} = m, false), {mark} | {id_of('x')}, NULL), {mark} | m)
@@ -102,7 +104,7 @@ class Tables:
 
     def decoded(self, ids: str) -> str:
         """The bytes of a comma-joined list of ids (empty string: none)."""
-        return f"unhex(array_join(transform(filter(split({ids}, ','), t -> t <> ''), t -> get({self.pieces}, cast(t as int))), ''))"
+        return f"if({ids} = '', cast('' as binary), unhex(array_join(transform(split({ids}, ','), t -> get(__pieces, cast(t as int))), '')))"
 
 
 def words_of(text: str, pattern: str) -> str:
@@ -112,7 +114,7 @@ def words_of(text: str, pattern: str) -> str:
 
 def encode_words(words: DataFrame, tables: Tables, column: str = "word") -> DataFrame:
     """Add ``ids`` (comma-joined) to a table of distinct, nonempty words."""
-    return words.withColumn("ids", F.expr(f"array_join({tables.fold(column)}, ',')"))
+    return tables.on(words, *FOLD).withColumn("ids", F.expr(f"array_join({tables.fold(column)}, ',')")).drop(*FOLD)
 
 
 def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_col: str = "text", dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -127,6 +129,7 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
     Null and empty texts have no ids; repeated rows repeat; words of any length
     are folded; an empty table gives no rows.  A column ``ids`` of ``docs`` is replaced.
     """
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")  # plans that hold literals of megabytes are not worth describing in full
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     share = min(1.0, sample_docs / max(1, docs.count()))
     some = docs.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
@@ -140,15 +143,15 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
             break
         least = r["bin"]
     frequent = counts.filter(F.floor(F.log2("n") * 8) >= F.lit(least)) if least is not None else counts.limit(0)
-    buckets = 1 << 16
+    buckets = 1 << 14
     known = encode_words(frequent.repartition(24, "word"), tables).select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"), "word", "ids").toArrow().sort_by("at")
     # the literals travel as two strings, which the optimizer parses once
     keys, values = (_nested_json(known["at"], known[c], buckets) for c in ("word", "ids"))
     at = f"cast(pmod(xxhash64(w), {buckets}) as int)"
-    look = f"get(get(__values, {at}), cast(array_position(get(__keys, {at}), w) as int) - 1)"
+    look = f"get(get(__known_ids, {at}), cast(array_position(get(__known, {at}), w) as int) - 1)"
     ids = f"array_join(transform({words_of('__text', pattern)}, w -> coalesce({look}, array_join({tables.fold('w')}, ','))), ',')"
-    d = docs.drop("ids").withColumns({"__text": text, "__keys": F.from_json(F.lit(keys), "array<array<string>>"), "__values": F.from_json(F.lit(values), "array<array<string>>")})
-    return d.withColumn("ids", F.expr(ids)).drop("__text", "__keys", "__values")
+    d = docs.drop("ids").withColumns({"__text": text, "__known": F.from_json(F.lit(keys), "array<array<string>>"), "__known_ids": F.from_json(F.lit(values), "array<array<string>>")})
+    return tables.on(d, *FOLD).withColumn("ids", F.expr(ids)).drop("__text", "__known", "__known_ids", *FOLD)
 
 
 def _nested_json(at, values, n: int) -> str:
@@ -168,4 +171,4 @@ def n_tokens(ids: Column) -> Column:
 
 def decode(encoded: DataFrame, tables: Tables, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded`` (binary): the bytes of each id, concatenated."""
-    return encoded.withColumn("decoded", F.expr(tables.decoded(ids_col)))
+    return tables.on(encoded, "__pieces").withColumn("decoded", F.expr(tables.decoded(ids_col))).drop("__pieces")
