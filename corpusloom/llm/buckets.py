@@ -11,10 +11,12 @@ from . import bloom
 from .components import connected_components
 from .stages import Stages
 
-#: Buckets of up to so many vertices are compared in full, larger ones with pivots.
+#: Buckets of up to so many vertices are compared in full at once, larger ones first with pivots.
 SMALL_BUCKET = 16
 PIVOTS = 2
 ROUNDS = 4
+#: Members of a block, of which two at a time are compared in full.
+BLOCK = 256
 
 
 def shared_buckets(keyed: DataFrame, stages: Stages) -> DataFrame:
@@ -33,7 +35,18 @@ def shared_buckets(keyed: DataFrame, stages: Stages) -> DataFrame:
     return stages.write(members.join(mass, "vertex"))
 
 
-def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], stages: Stages) -> DataFrame:
+def cells_of(mixed: DataFrame) -> DataFrame:
+    """``(bucket, i, j, left, right, vertex, component)``: blocks of a bucket's members, any two in one cell.
+
+    In the cell (i, i) members stand on both sides.
+    """
+    size = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    m = mixed.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("vertex", "bucket"), F.col("blocks")))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "vertex", "component")
+
+
+def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], stages: Stages) -> DataFrame:
     """Components ``(id, component)`` of the verified links within buckets.
 
     ``links_of`` verifies a table of pairs ``(a, b)``.  First each vertex is paired
@@ -74,4 +87,12 @@ def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]
             break
         links = stages.write(links.union(more))
         labels = stages.write(connected_components(links, stages))
-    return labels
+    m = members.filter(F.col("n") > SMALL_BUCKET).join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select("bucket", "vertex", F.coalesce("component", "vertex").alias("component"))
+    mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    m = stages.write(m.join(mixed, "bucket"))
+    if not m.limit(1).count():
+        return labels
+    pairs = stages.write(alike(cells_of(m)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    more = links_of(pairs)
+    stages.drop(m, pairs)
+    return stages.write(connected_components(links.union(more), stages))

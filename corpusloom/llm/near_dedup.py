@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,23 @@ def _promising(least: float):
     return run
 
 
+def _alike(least: float):
+    """Pairs across components in a cell of two blocks, by what ``_promising`` asks for."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
+        number, component = pdf.vertex.to_numpy(), pdf.component.to_numpy()
+        a, b = np.flatnonzero(pdf.left.to_numpy()), np.flatnonzero(pdf.right.to_numpy())
+        same = np.zeros((len(a), len(b)), np.int32)
+        for column in range(sig.shape[1]):
+            same += sig[a, column][:, None] == sig[b, column][None]
+        agree = (same / sig.shape[1] - 1 / 256) / (1 - 1 / 256)
+        i, j = np.nonzero((agree >= least) & (component[a][:, None] != component[b][None]))
+        return pd.DataFrame({"a": number[a[i]], "b": number[b[j]]})
+
+    return run
+
+
 def jaccard(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, counted: bool) -> float:
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not counted:
@@ -120,7 +138,7 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
        components.
     4. Buckets that still hold several components: small ones are compared in full
        across components; members of large ones with pivots of other components,
-       anew until a round brings no link (see ``buckets``).
+       anew until a round brings no link, then in full too (see ``buckets``).
 
     Vertex names have 64 bits (a false merge has a chance of n^2 / 2^65).
     Null and empty texts (no words) are in no class but their own, null ids are
@@ -147,7 +165,10 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
         stages.drop(likely, needed, sets)
         return links
 
-    labels = components_of(members, links_of, stages)
+    def alike(cells: DataFrame) -> DataFrame:
+        return cells.join(sketches.select("vertex", "sig"), "vertex").groupBy("bucket", "i", "j").applyInPandas(_alike(least), "a long, b long")
+
+    labels = components_of(members, links_of, alike, stages)
     with_class = rows.drop("bands", "sig").join(labels.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     # a row without words has a class of its own: the name of its row, apart from all vertices (which are odd)
     with_class = stages.write(with_class.withColumn("component", F.coalesce("component", "vertex", F.col("uid") * 2)))

@@ -113,6 +113,19 @@ def test_near_duplicates(spark):
     assert all(r["class_size"] == sizes[want[i]] and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+def test_near_duplicates_of_a_template(spark):
+    rng = random.Random(14)
+    frame = prose(rng, 360).split()
+    texts = {}
+    for i in range(200):  # two texts each, in the same buckets: 0.81 within a pair, 0.79 across
+        head = " ".join(frame[:200] + [f"eigen{i // 2}"] + frame[200:])
+        texts[i] = " ".join([head, *(f"ende{i}_{j}" for j in range(42))])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 100
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(d, stages(spark)).collect()} == want
+
+
 def test_near_duplicates_edges(spark):
     out = near_dedup.near_duplicates(edge_docs(spark), stages(spark)).collect()
     assert len(out) == 9 and sum(r["kept"] for r in out) == 7  # the three rows of "x" are one class
@@ -305,6 +318,18 @@ def test_line_dedup(spark):
         assert kept[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop)
 
 
+def test_line_dedup_of_a_template(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(400):  # pairs that differ in a letter, in the buckets that all lines share
+        name = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+        rows += [(2 * i + j, f"Copyright by the authors and contributors of the {x} project, all rights reserved.") for j, x in enumerate((name, name[:-1] + "_"))]
+    want = brute_lines(rows)
+    assert 390 < sum(x != "" for x in want.values()) < 420
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(d, stages(spark)).collect()} == want
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(edge_docs(spark), stages(spark))
     assert out.count() == 9 and out.filter("n_kept < n_lines").count() == 2
