@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from .stages import Stages
 SCALE = 1_000_000
 LEAF, LEAF_MOST = 64, 256
 BLOCK = 512
+#: Vectors in a block of saturated ones.
+FULL_BLOCK = 1024
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -144,6 +147,20 @@ def _blocks(threshold: float):
     return run
 
 
+def _bridges(threshold: float):
+    """Links across components in a cell of two blocks, one for each two components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.frombuffer(b"".join(pdf.exact), np.float64).reshape(len(pdf), -1)
+        number, component = pdf.id.to_numpy(), pdf.component.to_numpy()
+        a, b = np.flatnonzero(pdf.left.to_numpy()), np.flatnonzero(pdf.right.to_numpy())
+        i, j = np.nonzero((m[a] @ m[b].T >= threshold) & (component[a][:, None] != component[b][None]))
+        out = pd.DataFrame({"a": number[a[i]], "b": number[b[j]], "ca": component[a[i]], "cb": component[b[j]]})
+        return out.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    return run
+
+
 def _audit(queries: np.ndarray, ids: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), np.int64)
@@ -172,10 +189,13 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
        of their neighbours.
     4. List entries at or above the threshold (checked in double precision) become
        components, within which links are counted exactly, in blocks of 512 vectors
-       whose pairs are never rows.
+       whose pairs are never rows.  A link that lists lose lies between two vectors
+       whose lists of ``k`` are saturated: before the count, all of these are
+       compared across components, in blocks of 1,024.
     5. ``audit`` vectors, those with the smallest hashes, are held against all
        others.  If less than ``least_recall`` of their links is found, another
-       forest and another descent add to the lists, up to ``tries`` times.
+       forest and another descent add to the lists, up to ``tries`` times; a last
+       try that is still below gives a warning with the share found.
 
     Vectors that are null, empty or zero, hold null or non-finite components, or
     have another length than most vectors link with nothing: no links, their own
@@ -214,6 +234,17 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
         members = hoods.join(search.join(lists.select(F.col("u").alias("id"), "least"), "id", "left").select(F.col("id").alias("v"), F.coalesce("least", F.lit(-SCALE)).alias("least"), "vec"), "v")
         return members.select("u", "v", "least", "vec").repartition("u").sortWithinPartitions("u").mapInArrow(_local_join, "u long, v long, s int")
 
+    def bridges(full: DataFrame, component: DataFrame) -> DataFrame:
+        """Links between components of vectors with saturated lists: any two blocks of them meet in one cell."""
+        some = full.select(F.col("u").alias("id")).join(component, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        if some.select("component").distinct().limit(2).count() < 2:
+            return spark.createDataFrame([], "a long, b long")
+        blocks = -(-some.count() // FULL_BLOCK)
+        some = some.join(vectors.select("id", "exact"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        some = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        cells = some.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "id", "exact", "component")
+        return stages.write(cells.groupBy("i", "j").applyInPandas(_bridges(threshold), "a long, b long"))
+
     def links_of(lists: DataFrame) -> DataFrame:
         likely = _flat(lists).filter(F.col("s") >= low - 20).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
         for side in ("a", "b"):
@@ -222,6 +253,7 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
 
     links = spark.createDataFrame([], "a long, b long")
     component = counted = None
+    saturated = spark.createDataFrame([], "u long")
     for turn in range(tries):
         lists = descend(lists, turn)
         links = links.union(links_of(lists))
@@ -230,6 +262,8 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
             full = stages.write(grown.filter((F.size("nb") >= size) & (F.element_at("nb", -1)["s"] >= low)))
             if not full.limit(1).count():
                 break
+            if size == k:
+                saturated = saturated.union(full.select("u")).distinct()
             size *= 4
             one = _flat(full).select("u", "v")
             two = one.join(lists.select(F.col("u").alias("v"), F.expr("transform(nb, e -> e.v)").alias("next")), "v").select("u", F.explode("next").alias("v"))
@@ -239,6 +273,10 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
             links = links.union(links_of(grown))
         links = stages.write(links.distinct())
         component = stages.write(connected_components(links, stages))
+        across = bridges(saturated, component)
+        if across.limit(1).count():
+            links = stages.write(links.union(across))
+            component = stages.write(connected_components(links, stages))
         members = component.join(vectors.select("id", "exact", "copies"), "id")
         sizes = component.groupBy("component").agg(F.count("*").alias("n"))
         members = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -256,6 +294,8 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
         held = truth.join(counted, "id", "left").agg(F.sum("truth").alias("truth"), F.sum("links").alias("links")).first()
         if (held["links"] or 0) >= least_recall * (held["truth"] or 0):
             break
+        if turn == tries - 1:
+            warnings.warn(f"{held['links'] or 0} of {held['truth']} audited links found, less than {least_recall}", stacklevel=2)
     rows = raw.select("uid", "id").join(of_row, "uid", "left").join(vertex.select("vertex", "copies"), "vertex", "left")
     rows = rows.join(component.select(F.col("id").alias("vertex"), "component"), "vertex", "left").join(counted.select(F.col("id").alias("vertex"), "links"), "vertex", "left")
     rows = rows.select("uid", "id", F.when(F.col("vertex").isNull(), F.struct(F.lit(1).alias("alone"), F.col("uid").alias("c"))).otherwise(F.struct(F.lit(0).alias("alone"), F.coalesce("component", "vertex").alias("c"))).alias("class"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"))

@@ -393,6 +393,20 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicate_vectors(d.limit(0), stages(spark)).count() == 0
 
 
+def test_embeddings_of_two_dense_groups(spark):
+    """Every list fills up with its own group, and nearly all pairs across are links too."""
+    rng = np.random.default_rng(18)
+    q = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    centres = np.array([q[0], 0.965 * q[0] + np.sqrt(1 - 0.965**2) * q[1]])
+    m = np.repeat(centres, 400, axis=0) + rng.normal(size=(800, 64)) * np.sqrt(0.036 / 64)
+    d = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= 0.9
+    assert near[:400, 400:].mean() > 0.99
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(d, stages(spark)).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, 0) for i in range(800)}
+
+
 # -- URLs ------------------------------------------------------------------------------------------------------------
 
 def test_urls(spark):
