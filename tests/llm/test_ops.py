@@ -330,6 +330,16 @@ def test_line_dedup_of_a_template(spark):
     assert {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(d, stages(spark)).collect()} == want
 
 
+def test_line_dedup_of_repetitive_lines(spark):
+    """Sets that do not grow with the line: rules, underlines, laughter, repeated sentences."""
+    rng = random.Random(16)
+    units = ["-", "=", "- ", "ha", "=-", "abc", prose(rng, 3) + " ", prose(rng, 6) + " ", prose(rng, 8) + " ", prose(rng, 30) + " "]
+    lines = [(u * (n // len(u) + 2))[:n + len(u)] for u in units for n in (9, 30, 40, 60, 160, 300, 900)]
+    rows = list(enumerate(lines))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(d, stages(spark)).collect()} == brute_lines(rows)
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(edge_docs(spark), stages(spark))
     assert out.count() == 9 and out.filter("n_kept < n_lines").count() == 2
