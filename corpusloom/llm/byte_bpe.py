@@ -1,40 +1,63 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-Ranks are array literals.  The bytes of a word become token ids, and a fold
-merges, in each round, the pairs of lowest rank until no pair has one; decoding
-looks up each id's bytes and concatenates them.  Everything runs in the JVM.
+The bytes of a distinct word become token ids by a fold
+of ranked merges: each step merges the pair of lowest rank, until no pair has one.
+Texts meet their words' ids in Arrow blocks, without a shuffle; decoding looks up
+each id's bytes and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stages import Stages
 
 #: Unicode white space, as the split pattern's \s means it; Java's own \s is ASCII only.
-_WS = r"\t-\r\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BUCKET_BITS = 14
+_WS = r"\t-\r\x20\u0085   -     　"
+#: Buckets and slots of the rank map: primes, which hold up to about 150,000 pairs.
+BUCKETS, SLOTS = 32749, 200_003
 #: Stands for "no rank": above all ranks.
-NONE = 1 << 30
-#: Stands for a rank that is to be looked up anew.
-MARK = 1 << 31
+NONE = 1 << 17
 _ID_BITS = 20
-#: The literals of a fold.
-FOLD = ("__bytes", "__pairs", "__keys", "__ranks")
-#: Words whose ids go to the tasks as a literal, at most; all others are folded where they stand.
-DICTIONARY = 1 << 17
-#: Documents, about, whose words are counted to choose them.  Neither bound has a part in the results.
-SAMPLE_DOCS = 20_000
+_ID = (1 << _ID_BITS) - 1
+#: Ranks are below 2**17, entries of the rank map 2**18 apart.
+_RANK_BITS = 18
+#: Ends of a word, which merge with nothing; the first one, once a fold is done.
+END = NONE << _ID_BITS | _ID
+DONE = END + 1
+#: A piece whose rank is to be looked up anew.
+MARK = NONE << (_ID_BITS + 1)
+#: Steps of a fold that are columns: most words need no more.
+STEPS = 14
+#: Occurrences of a pair above which one step merges them all.
+MANY = 32
+#: Frequent words, at most, that are folded once for all; a block's other distinct words are folded with the block.
+DICTIONARY = 1 << 18
+#: Longest of them, in bytes: their table has at most 64 MB.
+DICTIONARY_BYTES = 64
+#: Documents, about, whose words are counted to choose them.  None of the three has a part in the results.
+SAMPLE_DOCS = 16_000
+#: Rows that Python gets at a time: six workers of an executor hold texts, words and ids.
+BATCH_ROWS = 500
+#: Words of a block, unless one text has more.
+BLOCK_WORDS = 1 << 20
 
 
 def java_pattern(pattern: str) -> str:
     """The split pattern with explicit classes for \\s and \\S."""
     out = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
-    return out
+    # contractions begin with an apostrophe, which neither a letter's nor a number's branch takes: these may come first
+    contractions = "'s|'t|'re|'ve|'m|'ll|'d|"
+    first = r" ?\p{L}+| ?\p{N}+|"
+    return out.replace(contractions + first, first + contractions) if out.startswith(contractions + first) else out
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,68 +66,140 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Tables:
-    """The literals: ids of single bytes, ranks of pairs by hash bucket, bytes of ids.
-
-    They travel as strings that the optimizer parses once: ``on`` adds them as
-    columns, each used in one place, which it replaces by the values.
-    """
+    """The vocabulary, and what a fold looks up: ids of single bytes, ranks of byte pairs, a hash table of ranks of pairs."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.size = max(ranks.values()) + 1
-        n = 1 << _BUCKET_BITS
-        keys: list[list[int]] = [[] for _ in range(n)]
-        values: list[list[int]] = [[] for _ in range(n)]
+        entries = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    at = (a * 40503 + b * 9973) & (n - 1)
-                    keys[at].append(a << _ID_BITS | b)
-                    values[at].append(rank)
-        pieces = [""] * self.size
-        for token, rank in ranks.items():
-            pieces[rank] = token.hex().upper()
+                    entries[a << _ID_BITS | b] = rank
         pairs = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-        lists = {"__bytes": ([ranks[bytes([b])] for b in range(256)], "array<bigint>"), "__pairs": (pairs, "array<int>"), "__keys": (keys, "array<array<bigint>>"), "__ranks": (values, "array<array<int>>"), "__pieces": (pieces, "array<string>")}
-        self.json = {name: (json.dumps(x, separators=(",", ":")), kind) for name, (x, kind) in lists.items()}
-
-    def on(self, df: DataFrame, *names: str) -> DataFrame:
-        return df.withColumns({n: F.from_json(F.lit(self.json[n][0]), self.json[n][1]) for n in names})
-
-    def rank(self, a: str, b: str) -> str:
-        """Rank of a pair of ids; ``NONE`` for a pair that does not merge or has no right half."""
-        at = f"cast(({a} * 40503L + {b} * 9973L) & {(1 << _BUCKET_BITS) - 1}L as int)"
-        return f"coalesce(get(get(__ranks, {at}), cast(array_position(get(__keys, {at}), shiftleft({a}, {_ID_BITS}) | {b}) as int) - 1), {NONE})"
-
-    def fold(self, word: str) -> str:
-        """Token ids of one word (array<bigint>): the fold of ranked merges over its bytes.
-
-        The state has one number for each piece: the rank of its merge with the
-        next piece, then its id.  A round merges the pairs of the lowest rank and
-        looks up only the ranks that this has changed, whose pieces are marked.
+        shift, table = _perfect(entries)
+        lists = {"bytes": ([ranks[bytes([b])] for b in range(256)], pa.int64()), "pairs": (pairs, pa.int32()), "shift": (shift, pa.int32()), "table": (table, pa.int64())}
+        self.lists = pa.table({name: pa.array([x], pa.list_(kind)) for name, (x, kind) in lists.items()})
+        self.pieces = pa.array(_by_rank(ranks), pa.binary())
+        text = {}
+        for token, rank in ranks.items():
+            try:
+                text[token.decode()] = rank
+            except UnicodeDecodeError:
+                pass
+        #: Tokens that are text: a word that is a token has its id, whatever its bytes would merge to.
+        self.words = pa.array(list(text), pa.string())
+        self.word_ids = pa.array([str(r) for r in text.values()], pa.string())
+
+    def folded(self, words: DataFrame, column: str = "word") -> DataFrame:
+        """Add ``ids`` (comma-joined token ids; null for null) to a table of nonempty words: the fold of ranked merges over their bytes.
+
+        The state has a number for each piece between two ends: the rank of its merge
+        with the next piece, then its id.  A step merges the leftmost pair of the
+        lowest rank.  Spark interprets what lambdas hold, so the first ``STEPS`` steps
+        stand as columns, which are compiled; an ``aggregate`` goes on where words need
+        more.  There, of a pair that occurs more than ``MANY`` times, one step merges
+        all occurrences.
+
+        The tables are literals that scalar subqueries bring in: in the expressions
+        they would be hashed for every step, and printed with every plan.  Lambdas may
+        not hold subqueries and get them as a column that the optimizer inlines.
         """
-        rank_of, id_of, mark = lambda x: f"shiftright({x}, {_ID_BITS})", lambda x: f"({x} & {(1 << _ID_BITS) - 1}L)", f"{MARK << _ID_BITS}L"
-        codes = f"transform(split(decode(cast({word} as binary), 'ISO-8859-1'), ''), c -> ascii(c))"
-        first = f"transform(array({codes}), c -> transform(c, (x, i) -> shiftleft(cast(coalesce(get(__pairs, x * 256 + get(c, i + 1)), {NONE}) as bigint), {_ID_BITS}) | get(__bytes, x)))[0]"
-        # an occurrence of the lowest pair that follows another has its turn in a later round
-        short = f"""transform(e, (x, i) -> CASE
-            WHEN {rank_of('x')} = m THEN if(coalesce({rank_of('get(e, i - 1)')} = m, false), if(coalesce({rank_of('get(e, i - 2)')} = m, false), {mark} | {id_of('x')}, NULL), {mark} | m)
-            WHEN {rank_of('get(e, i - 1)')} = m AND NOT coalesce({rank_of('get(e, i - 2)')} = m, false) THEN NULL
-            WHEN {rank_of('get(e, i + 1)')} = m THEN {mark} | {id_of('x')}
-            ELSE x END)"""
-        # in long words, every other occurrence of a run at once: 111 becomes 101
-        marks = f"split(regexp_replace(array_join(transform(e, x -> if({rank_of('x')} = m, '1', '0')), ''), '11', '10'), '')"
-        long = f"""transform(array({marks}), k -> transform(e, (x, i) -> CASE
-            WHEN get(k, i) = '1' THEN {mark} | m
-            WHEN get(k, i - 1) = '1' THEN NULL
-            ELSE {mark} | {id_of('x')} END))[0]"""
-        merged = f"transform(array(filter(if(size(e) > 48, {long}, {short}), x -> x IS NOT NULL)), t -> transform(t, (x, i) -> if(x >= {mark}, shiftleft(cast({self.rank(id_of('x'), id_of('get(t, i + 1)'))} as bigint), {_ID_BITS}) | {id_of('x')}, x)))[0]"
-        step = f"transform(array({rank_of('array_min(e)')}), m -> if(m = {NONE}, e, {merged}))[0]"
-        return f"transform(aggregate(sequence(2, octet_length({word}) + 1), {first}, (e, n) -> {step}), x -> {id_of('x')})"
-
-    def decoded(self, ids: str) -> str:
-        """The bytes of a comma-joined list of ids (empty string: none)."""
-        return f"if({ids} = '', cast('' as binary), unhex(array_join(transform(split({ids}, ','), t -> get(__pieces, cast(t as int))), '')))"
+        one_row = words.sparkSession.createDataFrame(self.lists)
+        of = {name: one_row.select(name).scalar() for name in self.lists.column_names}
+        limit, end = F.lit(NONE << _ID_BITS), F.array(F.lit(END))
+
+        def bound(value: Column, body) -> Column:
+            return F.get(F.transform(F.array(value), body), F.lit(0))
+
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(_ID))
+
+        def rank(x: Column) -> Column:
+            return F.shiftright(x, _ID_BITS)
+
+        def key(a: Column, b: Column) -> Column:
+            return F.shiftleft(a, _ID_BITS).bitwiseOR(b)
+
+        def piece(k: Column, table: Column = of["table"], shift: Column = of["shift"]) -> Column:
+            # the table's entry, less the key, is the rank if the entry is the key's own, else far from any rank
+            entry = F.get(table, ((k + F.get(shift, (k % BUCKETS).cast("int"))) % SLOTS).cast("int"))
+            return key(F.least(F.abs(entry - F.shiftleft(k, _RANK_BITS)), F.lit(NONE).cast("long")), rank(k))
+
+        def around(e: Column, m: Column, p: Column) -> list[Column]:
+            return [key(id_of(F.get(e, p - 2)), rank(m)), key(rank(m), id_of(F.get(e, p + 1)))]
+
+        def merge(e: Column, p: Column, *new: Column) -> Column:
+            return F.concat(F.slice(e, F.lit(1), p - 2), new[0], F.slice(e, p + 2, F.size(e)), *new[1:])
+
+        word, e, m, p = F.col(column), F.col("__e"), F.col("__m"), F.col("__p")
+        d = words.withColumn("__c", F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), F.ascii))
+        first = lambda t: F.transform("__c", lambda x, i: key(F.coalesce(F.get(t["pairs"], x * 256 + F.get("__c", i + 1)), F.lit(NONE)).cast("long"), F.get(t["bytes"], x)))
+        d = d.withColumn("__t", F.struct(of["pairs"].alias("pairs"), of["bytes"].alias("bytes")))
+        d = d.withColumn("__e", F.concat(end, bound(F.col("__t"), first), end)).drop("__c", "__t")
+        for _ in range(STEPS):
+            d = d.withColumn("__m", F.array_min(e)).withColumn("__p", F.array_position(e, m).cast("int"))
+            d = d.withColumns(dict(zip(("__l", "__r"), around(e, m, p), strict=True)))
+            d = d.withColumns({"__l": piece(F.col("__l")), "__r": piece(F.col("__r"))})
+            # a lambda (over nothing) ends a unit of compiled code: all steps in one would be too long for the JVM's compiler
+            d = d.withColumn("__e", F.when(m >= limit, e).otherwise(merge(e, p, F.array("__l", "__r"), F.filter(F.slice(e, F.lit(1), F.lit(0)), lambda x: F.lit(True)))))
+
+        def every(e: Column, m: Column, new) -> Column:
+            # of a run of marks, every other one merges: 111 becomes 101
+            marks = F.split(F.regexp_replace(F.array_join(F.transform(e, lambda x: F.when(x == m, "1").otherwise("0")), ""), "11", "10"), "")
+            at = lambda k, i: F.coalesce(F.get(k, i), F.lit("0")) == "1"
+            marked = F.lit(MARK)
+            merged = lambda k: F.filter(F.transform(e, lambda x, i: F.when(at(k, i), marked.bitwiseOR(rank(m))).when(at(k, i - 1), F.lit(None).cast("long")).when(at(k, i + 1), marked.bitwiseOR(id_of(x))).otherwise(x)), lambda x: x.isNotNull())
+            return bound(marks, lambda k: bound(merged(k), lambda t: F.transform(t, lambda x, i: F.when(x >= marked, new(key(id_of(x), id_of(F.get(t, i + 1))))).otherwise(x))))
+
+        def step(e: Column, m: Column, new) -> Column:
+            # in a lambda, array_position throws an exception for each find
+            at = F.array_min(F.transform(e, lambda x, i: F.when(x == m, i))) + 1
+            one = bound(at, lambda p: merge(e, p, F.transform(F.array(*around(e, m, p)), new)))
+            few = (F.size(e) <= MANY) | (F.size(e) - F.size(F.array_remove(e, m)) <= MANY)
+            return F.when(m >= limit, F.concat(F.array(F.lit(DONE)), F.slice(e, F.lit(2), F.size(e)))).when(few, one).otherwise(every(e, m, new))
+
+        def on(e: Column, t: Column) -> Column:
+            more = bound(F.array_min(e), lambda m: step(e, m, lambda k: piece(k, t["table"], t["shift"])))
+            return F.when(F.get(e, F.lit(0)) == DONE, e).otherwise(more)
+
+        def steps(e: Column, t: Column) -> Column:
+            # as many steps as pieces, in rounds: what is done goes through few of them
+            side = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size("__e"))).cast("int"))
+            return F.aggregate(side, e, lambda e, i: F.when(F.get(e, F.lit(0)) == DONE, e).otherwise(F.aggregate(side, e, lambda e, n: on(e, t))))
+
+        d = d.withColumn("__t", F.when(F.array_min(e) < limit, F.struct(of["table"].alias("table"), of["shift"].alias("shift"))))
+        rest = bound(F.col("__t"), lambda t: steps(e, t))
+        d = d.withColumn("__e", F.when(word.isNull() | (F.array_min(e) >= limit), e).otherwise(rest))
+        ids = F.array_join(F.transform(F.slice(e, F.lit(2), F.size(e) - 2), id_of), ",")
+        return d.withColumn("ids", ids).drop("__e", "__m", "__p", "__l", "__r", "__t")
+
+
+def _perfect(entries: dict[int, int]) -> tuple[list[int], list[int]]:
+    """A hash table without collisions: shifts by bucket, and ``key << 18 | rank`` by slot (0: empty)."""
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for key in entries:
+        buckets[key % BUCKETS].append(key)
+    shift, table = [0] * BUCKETS, [0] * SLOTS
+    for at in sorted(range(BUCKETS), key=lambda i: -len(buckets[i])):
+        keys = buckets[at]
+        if len({k % SLOTS for k in keys}) < len(keys):
+            raise ValueError("two pairs share bucket and slot: other primes are needed")
+        while any(table[(k + shift[at]) % SLOTS] for k in keys):
+            shift[at] += 1
+            if shift[at] >= SLOTS:
+                raise ValueError("the table of pairs is too small")
+        for k in keys:
+            table[(k + shift[at]) % SLOTS] = k << _RANK_BITS | entries[k]
+    if 0 not in entries:  # an empty slot would pass for the pair 0, 0
+        table[shift[0] % SLOTS] = table[shift[0] % SLOTS] or -1 << 40
+    return shift, table
+
+
+def _by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    return pieces
 
 
 def words_of(text: str, pattern: str) -> str:
@@ -112,28 +207,11 @@ def words_of(text: str, pattern: str) -> str:
     return f"regexp_extract_all({text}, '{quoted}', 0)"
 
 
-def encode_words(words: DataFrame, tables: Tables, column: str = "word") -> DataFrame:
-    """Add ``ids`` (comma-joined) to a table of distinct, nonempty words."""
-    return tables.on(words, *FOLD).withColumn("ids", F.expr(f"array_join({tables.fold(column)}, ',')")).drop(*FOLD)
-
-
-def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_col: str = "text", dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Add ``ids``, the comma-joined token ids of every whole text, to the rows of ``docs``.
-
-    Each match of ``pattern`` is a word.  The words of about ``sample_docs``
-    documents (of the lowest text hashes) are counted, and the most frequent ones,
-    at most ``dictionary``, are folded once and looked up in a literal; every other
-    word of any document is folded where it stands.  The ids do not depend on these
-    two bounds: they limit what reaches the driver and the tasks.
-
-    Null and empty texts have no ids; repeated rows repeat; words of any length
-    are folded; an empty table gives no rows.  A column ``ids`` of ``docs`` is replaced.
-    """
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")  # plans that hold literals of megabytes are not worth describing in full
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _frequent(docs: DataFrame, stages: Stages, text: Column, pattern: str, dictionary: int, sample_docs: int) -> DataFrame:
+    """The most frequent words of about ``sample_docs`` documents, those of the lowest text hashes; at most ``dictionary``."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     some = docs.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    words = some.select(F.explode(F.expr(words_of("t", pattern))).alias("word"))
+    words = some.select(F.explode(F.expr(words_of("t", pattern))).alias("word")).filter(F.octet_length("word") <= DICTIONARY_BYTES)
     counts = stages.write(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1"))
     bins = counts.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("words")).collect()  # a few hundred rows
     left, least = dictionary, None
@@ -142,33 +220,150 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
         if left < 0:
             break
         least = r["bin"]
-    frequent = counts.filter(F.floor(F.log2("n") * 8) >= F.lit(least)) if least is not None else counts.limit(0)
-    buckets = 1 << 14
-    known = encode_words(frequent.repartition(24, "word"), tables).select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("at"), "word", "ids").toArrow().sort_by("at")
-    # the literals travel as two strings, which the optimizer parses once
-    keys, values = (_nested_json(known["at"], known[c], buckets) for c in ("word", "ids"))
-    at = f"cast(pmod(xxhash64(w), {buckets}) as int)"
-    look = f"get(get(__known_ids, {at}), cast(array_position(get(__known, {at}), w) as int) - 1)"
-    ids = f"array_join(transform({words_of('__text', pattern)}, w -> coalesce({look}, array_join({tables.fold('w')}, ','))), ',')"
-    d = docs.drop("ids").withColumns({"__text": text, "__known": F.from_json(F.lit(keys), "array<array<string>>"), "__known_ids": F.from_json(F.lit(values), "array<array<string>>")})
-    return tables.on(d, *FOLD).withColumn("ids", F.expr(ids)).drop("__text", "__known", "__known_ids", *FOLD)
+    return counts.filter(F.floor(F.log2("n") * 8) >= F.lit(least)) if least is not None else counts.limit(0)
+
+
+_held: list[tuple[object, pa.Array]] = []
+
+
+def _value(shared) -> pa.Array:
+    """The array in a broadcast Arrow stream; a process reads the last two only once."""
+    for known, array in _held:
+        if known is shared:
+            return array
+    array = pa.ipc.open_stream(shared.value).read_all().column(0).combine_chunks()
+    _held[:] = [(shared, array), *_held[:1]]
+    return array
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in groups of about ``BLOCK_WORDS`` words (the last column), or of one longer text."""
+    held, words = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy())
+        at = done = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_WORDS - words, "right")))
+            held.append(batch.slice(at, to - at))
+            words += int(ends[to - 1]) - done
+            at, done = to, int(ends[to - 1])
+            if words >= BLOCK_WORDS // 2:
+                yield held
+                held, words = [], 0
+    if held:
+        yield held
+
+
+def _numbered(known):
+    """Blocks of rows: the distinct words that the dictionary lacks, a row each, then the block with words replaced by numbers (in the dictionary, then among these)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _blocks_of(batches):
+            block = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            lists = block.column(block.num_columns - 1)
+            flat = lists.flatten()
+            table = _value(known)
+            number = pc.index_in(flat, value_set=table)
+            rest = number.is_null()
+            other = flat.filter(rest).dictionary_encode()
+            codes = number.fill_null(0).to_numpy().copy()
+            codes[rest.to_numpy(zero_copy_only=False)] = other.indices.to_numpy() + len(table)
+            offsets = np.zeros(len(lists) + 1, np.int32)
+            np.cumsum(pc.list_value_length(lists).to_numpy(), out=offsets[1:])
+            coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.astype(np.int32)))
+            state = _stream(pa.RecordBatch.from_arrays([*block.columns[:-1], coded], [f"c{i}" for i in range(block.num_columns)]))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(other.dictionary), pa.binary()), other.dictionary], ["state", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary()), pa.array([None], pa.string())], ["state", "word"])
+
+    return run
+
+
+def _assembled(known, names: list[str]):
+    """The rows of numbered blocks with their texts' ids; a block's words come before its state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        for batch in batches:
+            at = 0
+            for row in np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                block = pa.ipc.open_stream(batch.column(0)[row].as_buffer()).read_all().combine_chunks().to_batches()[0]
+                ids = pa.concat_arrays([_value(known), *held, batch.column(1).slice(at, row - at)])
+                coded = block.column(block.num_columns - 1)
+                joined = pc.binary_join(pa.ListArray.from_arrays(coded.offsets, ids.take(coded.values)), ",")
+                yield pa.RecordBatch.from_arrays([*block.columns[:-1], joined], [*names, "ids"])
+                held, at = [], row + 1
+            held.append(batch.column(1).slice(at))
+
+    return run
+
+
+def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_col: str = "text", keep_text: bool = True, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """Add ``ids``, the comma-joined token ids of every whole text, to the rows of ``docs``.
 
+    Each match of ``pattern`` is a word; a word that is a token has its id.  The
+    most frequent others (at most ``dictionary``, of up to 64 bytes, by the counts
+    of about ``sample_docs`` documents) are folded once, and go to the tasks as a
+    table of at most 64 MB.  Rows are dealt with in blocks of about a million words,
+    where they stand: a block's further distinct words are folded once for the
+    block.  The ids do not depend on these bounds.  No text is shuffled.
 
-def _nested_json(at, values, n: int) -> str:
-    """A JSON list of ``n`` lists: value i of the sorted column ``at`` goes to list ``at[i]``."""
-    import numpy as np
+    Null and empty texts have no ids; repeated rows repeat; words of any length are
+    folded whole; an empty table gives no rows.  A column ``ids`` of ``docs`` is
+    replaced, columns of other names stay (but for the text, without ``keep_text``).
 
-    ends = np.searchsorted(at.to_numpy(), np.arange(n + 1))
-    parts = []
-    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        parts.append(json.dumps(values.slice(a, z - a).to_pylist(), separators=(",", ":")) if z > a else "[]")
-    return "[" + ",".join(parts) + "]"
+    The result is lazy, so the session keeps Arrow batches of at most ``BATCH_ROWS``
+    rows from here on.
+    """
+    spark = docs.sparkSession
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    docs = docs.drop("ids")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    frequent = tables.folded(_frequent(docs, stages, text, pattern, dictionary, sample_docs).select("word").repartition(12, "word")).toArrow()
+    more = frequent.filter(pc.invert(pc.is_in(frequent["word"], value_set=tables.words)))
+    column = lambda own, name: pa.concat_arrays([own, more[name].combine_chunks().cast(pa.string())])
+    words, ids = (spark.sparkContext.broadcast(_stream(pa.RecordBatch.from_arrays([column(own, name)], ["c"]))) for own, name in ((tables.words, "word"), (tables.word_ids, "ids")))
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    split = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.expr(words_of(f"coalesce(cast(`{text_col}` as string), '')", pattern)).alias("words"))
+    blocks = split.mapInArrow(_numbered(words), "state binary, word string")
+    return tables.folded(blocks).select("state", "ids").mapInArrow(_assembled(ids, [f.name for f in kept]), T.StructType([*kept, T.StructField("ids", T.StringType())]))
 
 
 def n_tokens(ids: Column) -> Column:
     return F.when(ids == "", 0).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","))) + 1).cast("long")
 
 
+def _decoded(pieces, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.column(at).nbytes))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                ids = part.column(at)
+                some = pc.greater(pc.fill_null(pc.binary_length(ids), 0), 0)
+                lists = pc.split_pattern(ids.filter(some), ",")
+                found = _value(pieces).take(lists.flatten().cast(pa.int32()))
+                lengths = np.zeros(len(ids), np.int64)
+                lengths[some.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+                ends = np.append(0, np.cumsum(lengths))
+                # pieces lie one behind the other: a text is a stretch of them
+                cuts = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1][ends] if len(found) else np.zeros(len(ends), np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int32).tobytes()), found.buffers()[2] if len(found) else pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
+
+    return run
+
+
 def decode(encoded: DataFrame, tables: Tables, ids_col: str = "ids") -> DataFrame:
-    """Add ``decoded`` (binary): the bytes of each id, concatenated."""
-    return tables.on(encoded, "__pieces").withColumn("decoded", F.expr(tables.decoded(ids_col))).drop("__pieces")
+    """Add ``decoded`` (binary): the bytes of each id, concatenated; a column of that name is replaced.  Null and empty ids have no bytes."""
+    encoded = encoded.drop("decoded")
+    pieces = encoded.sparkSession.sparkContext.broadcast(_stream(pa.RecordBatch.from_arrays([tables.pieces], ["c"])))
+    return encoded.mapInArrow(_decoded(pieces, encoded.columns.index(ids_col)), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

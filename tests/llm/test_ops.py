@@ -261,6 +261,35 @@ def test_bpe_equals_tiktoken(spark):
             ids = enc.encode_ordinary(t)
             assert r["ids"] == ",".join(map(str, ids)) and r["n"] == len(ids) and bytes(r["decoded"]) == t.encode()
     assert byte_bpe.encode(d.limit(0), stages(spark), tables, pattern).count() == 0
+    e = edge_docs(spark).withColumn("__words", F.lit("q"))
+    rng = random.Random(5)
+    more = ["=" * 100_000, "".join(rng.choice("abcdefghij") for _ in range(1000)), "ab" * 2000, "1" * 3000]
+    e = e.unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"), allowMissingColumns=True)
+    rows = byte_bpe.decode(byte_bpe.encode(e, stages(spark), tables, pattern), tables).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in rows) == collections.Counter((r["doc_id"], r["text"]) for r in e.collect())
+    for r in rows:
+        assert r["ids"] == ",".join(map(str, enc._core_bpe.encode_ordinary(r["text"] or ""))) and bytes(r["decoded"]) == (r["text"] or "").encode()
+        assert r["doc_id"] == 100 or r["doc_id"] is None or r["doc_id"] > 100 or r["__words"] == "q"
+    narrow = byte_bpe.encode(e, stages(spark), tables, pattern, keep_text=False)
+    assert "text" not in narrow.columns and sorted(r["ids"] for r in narrow.collect()) == sorted(r["ids"] for r in rows)
+
+
+def test_bpe_blocks(spark, monkeypatch):
+    """Blocks of few words: numbering and assembly, apart from Spark."""
+    docs = [["a", "b"], [], ["c"] * 5, ["a", "x"], None or []]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs, pa.list_(pa.string()))], ["id", "w"])] * 2
+
+    class Shared:
+        def __init__(self, values):
+            self.value = byte_bpe._stream(pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["c"]))
+
+    for size in (1, 3, 1000):
+        monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", size)
+        numbered = list(byte_bpe._numbered(Shared(["a"]))(iter(batches)))
+        folded = [pa.RecordBatch.from_arrays([b.column(0), pa.array([w and w.upper() for w in b.column(1).to_pylist()], pa.string())], ["state", "ids"]) for b in numbered]
+        out = pa.Table.from_batches(list(byte_bpe._assembled(Shared(["1"]), ["id"])(iter(folded))))
+        assert out["id"].to_pylist() == [*range(5)] * 2
+        assert out["ids"].to_pylist() == ["1,B", "", "C,C,C,C,C", "1,X", ""] * 2
 
 
 # -- lines -----------------------------------------------------------------------------------------------------------
