@@ -162,7 +162,9 @@ def shard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.shard(table(spark, sf_dir, "documents").select("doc_id"), 30, list(range(8, 30, 8)))
+    """Every document's shard of 30, and which of eight workers reads it from shard 8 on."""
+    d = corpus.shard(table(spark, sf_dir, "documents").select("doc_id"), 30)
+    return d.withColumn("worker", F.when(F.col("shard") >= 8, F.col("shard") % 8))
 
 
 # -- corpus ----------------------------------------------------------------------------------------------------------
@@ -206,7 +208,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tokens.windows(tokens.stream_slice(_tokens(spark, sf_dir), 0, 100_000), 32, 8)
+    d = tokens.windows(_tokens(spark, sf_dir), 32, 8)
     return d.select("win", F.aggregate("x", F.lit(0), lambda s, x: s + x).cast("long").alias("sum_x"), F.get("y", F.lit(31)).cast("long").alias("last_y"))
 
 

@@ -114,16 +114,16 @@ ORACLE_SQL: dict[str, str] = {
     "shard_lists": """with s as (select * from (values (0, 1024, 128, 12), (1, 30, 8, 3)) as v(source_id, n, ofs, workers)),
         w as (select source_id, n, ofs, workers, j from s, range(12) as g(j) where j < workers)
         select source_id, j::int as worker, sh::int as shard from w, range(1024) as h(sh) where sh >= ofs + j and sh < n and (sh - ofs - j) % workers = 0""",
-    "shard_assignment": "select doc_id, (doc_id % 30)::int as shard from documents where doc_id % 30 in (8, 16, 24)",
+    "shard_assignment": "select doc_id, (doc_id % 30)::int as shard, case when doc_id % 30 >= 8 then (doc_id % 30 % 8)::int end as worker from documents",
     "prefix_sample": "with b as (select doc_id, strlen(coalesce(text, '')) as bytes, coalesce(sum(strlen(coalesce(text, '')) + 2) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents) select doc_id, bytes, start from b where start + bytes + 2 <= 1000000",
     "word_frequency": f"with w as (select unnest({_WORDS}) as word from documents) select word, count(*) as n from w group by word having count(*) >= 2",
-    "pair_frequency": f"with w as (select unnest({_WORDS}) as word from documents), c as (select word, count(*) as n from w group by word), p as (select n, substr(word, i, 2) as pair from c, range(1, 2000) as g(i) where i < length(word)) select pair, sum(n)::bigint as n from p group by pair having sum(n) >= 2",
+    "pair_frequency": f"with w as (select unnest({_WORDS}) as word from documents), c as (select word, count(*) as n from w group by word), i as (select n, word, unnest(range(1, length(word))) as i from c), p as (select n, substr(word, i, 2) as pair from i) select pair, sum(n)::bigint as n from p group by pair having sum(n) >= 2",
     "token_offsets": f"with {_TOK} select doc_id, n, off from placed",
     "token_windows": f"""with {_TOK}, w as (select pos // 64 as win, pos % 64 as i, tok from flat), nw as (select case when n - 65 >= 0 then (n - 65) // 64 + 1 else 1 end as c from tot),
         x as (select win, string_agg(tok::varchar, ' ' order by i) as x from w group by win), y as (select (pos - 1) // 64 as win, string_agg(tok::varchar, ' ' order by pos) as y from flat where pos > 0 group by 1)
         select win, x, y from x join y using (win) where win < (select c from nw)""",
-    "overlapping_windows": f"""with {_TOK}, f as (select * from flat where pos < 100000), c as (select (least(100000, (select n from tot)) - 33) // 8 + 1 as c), w as (select i as win from range((select c from c)) as g(i))
-        select win, sum(tok) filter (pos < win * 8 + 32)::bigint as sum_x, max(tok) filter (pos = win * 8 + 32)::bigint as last_y from w join f on pos >= win * 8 and pos <= win * 8 + 32 group by win""",
+    "overlapping_windows": f"""with {_TOK}, c as (select (n - 33) // 8 + 1 as c from tot), p as (select pos, tok, pos // 8 - k as win from flat, range(5) as g(k))
+        select win, sum(tok) filter (pos < win * 8 + 32)::bigint as sum_x, max(tok) filter (pos = win * 8 + 32)::bigint as last_y from p where win >= 0 and win < (select c from c) and pos <= win * 8 + 32 group by win""",
     "next_token_pairs": f"with {_TOK}, nw as (select (n - 65) // 64 + 1 as c from tot), p as (select pos, tok, lead(tok) over (order by pos) as next_tok from flat) select tok, next_tok, count(*) as n from p where pos < 64 * (select c from nw) group by tok, next_tok",
     "split_train_val": f"""with {_TOK}, s as (select floor(n * (1 - 0.1::double))::bigint as cutpos, n as total from tot),
         c as (select 'train' as part, 0 as a, cutpos as b from s union all select 'val', cutpos, total from s)

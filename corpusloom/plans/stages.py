@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="corpusloom-")
@@ -34,6 +36,8 @@ class Stages:
 
     def __init__(self, spark: SparkSession, name: str):
         ship_code(spark)
+        # broadcasts and shuffle files of what ran before go when the driver has collected its garbage
+        spark.sparkContext._jvm.System.gc()
         self.spark = spark
         self.root = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
