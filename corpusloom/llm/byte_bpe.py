@@ -36,7 +36,7 @@ DONE = END + 1
 #: A piece whose rank is to be looked up anew.
 MARK = NONE << (_ID_BITS + 1)
 #: Steps of a fold that are columns: most words need no more.
-STEPS = 14
+STEPS = 9
 #: Occurrences of a pair above which one step merges them all.
 MANY = 32
 #: Frequent words, at most, that are folded once for all; a block's other distinct words are folded with the block.
