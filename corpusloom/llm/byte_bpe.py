@@ -47,8 +47,8 @@ DICTIONARY_BYTES = 64
 SAMPLE_DOCS = 16_000
 #: Rows that Python gets at a time: six workers of an executor hold texts, words and ids.
 BATCH_ROWS = 500
-#: Words of a block, unless one text has more.
-BLOCK_WORDS = 1 << 20
+#: Words of a block, unless one text has more.  Every step of a fold has a buffer for the block's row.
+BLOCK_WORDS = 1 << 19
 
 
 def java_pattern(pattern: str) -> str:
@@ -310,8 +310,8 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
     Each match of ``pattern`` is a word; a word that is a token has its id.  The
     most frequent others (at most ``dictionary``, of up to 64 bytes, by the counts
     of about ``sample_docs`` documents) are folded once, and go to the tasks as a
-    table of at most 64 MB.  Rows are dealt with in blocks of about a million words,
-    where they stand: a block's further distinct words are folded once for the
+    table of at most 64 MB.  Rows are dealt with in blocks of about half a million
+    words, where they stand: a block's further distinct words are folded once for the
     block.  The ids do not depend on these bounds.  No text is shuffled.
 
     Null and empty texts have no ids; repeated rows repeat; words of any length are
