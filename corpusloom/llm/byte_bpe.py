@@ -304,7 +304,7 @@ def _assembled(known, names: list[str]):
     return run
 
 
-def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_col: str = "text", keep_text: bool = True, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_col: str = "text", keep_text: bool = True, decoded: bool = False, dictionary: int = DICTIONARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Add ``ids``, the comma-joined token ids of every whole text, to the rows of ``docs``.
 
     Each match of ``pattern`` is a word; a word that is a token has its id.  The
@@ -317,6 +317,7 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
     Null and empty texts have no ids; repeated rows repeat; words of any length are
     folded whole; an empty table gives no rows.  A column ``ids`` of ``docs`` is
     replaced, columns of other names stay (but for the text, without ``keep_text``).
+    ``decoded`` adds what ``decode`` does, in the same Python worker.
 
     The result is lazy, so the session keeps Arrow batches of at most ``BATCH_ROWS``
     rows from here on.
@@ -325,7 +326,7 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     frequent = tables.folded(_frequent(docs, stages, text, pattern, dictionary, sample_docs).select("word").repartition(12, "word")).toArrow()
     more = frequent.filter(pc.invert(pc.is_in(frequent["word"], value_set=tables.words)))
@@ -334,7 +335,15 @@ def encode(docs: DataFrame, stages: Stages, tables: Tables, pattern: str, text_c
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     split = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.expr(words_of(f"coalesce(cast(`{text_col}` as string), '')", pattern)).alias("words"))
     blocks = split.mapInArrow(_numbered(words), "state binary, word string")
-    return tables.folded(blocks).select("state", "ids").mapInArrow(_assembled(ids, [f.name for f in kept]), T.StructType([*kept, T.StructField("ids", T.StringType())]))
+    assemble, fields = _assembled(ids, [f.name for f in kept]), [*kept, T.StructField("ids", T.StringType())]
+    if decoded:
+        texts = _decoded(_pieces(spark, tables), len(kept))
+        return tables.folded(blocks).select("state", "ids").mapInArrow(lambda batches: texts(assemble(batches)), T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))
+    return tables.folded(blocks).select("state", "ids").mapInArrow(assemble, T.StructType(fields))
+
+
+def _pieces(spark, tables: Tables):
+    return spark.sparkContext.broadcast(_stream(pa.RecordBatch.from_arrays([tables.pieces], ["c"])))
 
 
 def n_tokens(ids: Column) -> Column:
@@ -365,5 +374,5 @@ def _decoded(pieces, at: int):
 def decode(encoded: DataFrame, tables: Tables, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded`` (binary): the bytes of each id, concatenated; a column of that name is replaced.  Null and empty ids have no bytes."""
     encoded = encoded.drop("decoded")
-    pieces = encoded.sparkSession.sparkContext.broadcast(_stream(pa.RecordBatch.from_arrays([tables.pieces], ["c"])))
+    pieces = _pieces(encoded.sparkSession, tables)
     return encoded.mapInArrow(_decoded(pieces, encoded.columns.index(ids_col)), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -56,8 +56,7 @@ def bpe_parameters(path: str = TOKENIZER) -> tuple[byte_bpe.Tables, str]:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, pattern = bpe_parameters()
-    out = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark, "op6"), tables, pattern, keep_text=False)
-    out = byte_bpe.decode(out, tables)
+    out = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Stages(spark, "op6"), tables, pattern, keep_text=False, decoded=True)
     return out.select("doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

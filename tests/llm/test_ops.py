@@ -270,8 +270,8 @@ def test_bpe_equals_tiktoken(spark):
     for r in rows:
         assert r["ids"] == ",".join(map(str, enc._core_bpe.encode_ordinary(r["text"] or ""))) and bytes(r["decoded"]) == (r["text"] or "").encode()
         assert r["doc_id"] == 100 or r["doc_id"] is None or r["doc_id"] > 100 or r["__words"] == "q"
-    narrow = byte_bpe.encode(e, stages(spark), tables, pattern, keep_text=False)
-    assert "text" not in narrow.columns and sorted(r["ids"] for r in narrow.collect()) == sorted(r["ids"] for r in rows)
+    narrow = byte_bpe.encode(e, stages(spark), tables, pattern, keep_text=False, decoded=True)
+    assert "text" not in narrow.columns and sorted((r["ids"], bytes(r["decoded"])) for r in narrow.collect()) == sorted((r["ids"], bytes(r["decoded"])) for r in rows)
 
 
 def test_bpe_blocks(spark, monkeypatch):
