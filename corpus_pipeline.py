@@ -46,7 +46,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     tables, pattern = bpe_parameters()
     # a digest goes along instead of the text
     d = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    d = byte_bpe.decode(byte_bpe.encode(d, Stages(spark, "pipeline-tokens"), tables, pattern, keep_text=False), tables)
+    d = byte_bpe.encode(d, Stages(spark, "pipeline-tokens"), tables, pattern, keep_text=False, decoded=True)
     ids = F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>"))
     return d.select("doc_id", "lang", "source", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), ids.alias("ids"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
