@@ -81,7 +81,7 @@ def collapse_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exact_dedup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalise(tx.text_or_empty(F.col("text")))).alias("key"))
+    d = documents(spark, sf_dir).select("doc_id", F.md5(tx.normalise(tx.text_or_empty(F.col("text")))).alias("key"))
     return dedup.keep_first(d, F.col("key")).select("doc_id", "first_id")
 
 
