@@ -47,8 +47,10 @@ DICTIONARY_BYTES = 64
 SAMPLE_DOCS = 16_000
 #: Rows that Python gets at a time: six workers of an executor hold texts, words and ids.
 BATCH_ROWS = 500
-#: Words of a block, unless one text has more.  Every step of a fold has a buffer for the block's row.
+#: Words of a block, unless one text has more.
 BLOCK_WORDS = 1 << 19
+#: Bytes of a block that one row holds: every step of a fold has a buffer for a row.
+STATE_BYTES = 1 << 18
 
 
 def java_pattern(pattern: str) -> str:
@@ -280,7 +282,13 @@ def _numbered(known):
             coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.astype(np.int32)))
             state = _stream(pa.RecordBatch.from_arrays([*block.columns[:-1], coded], [f"c{i}" for i in range(block.num_columns)]))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(other.dictionary), pa.binary()), other.dictionary], ["state", "word"])
-            yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary()), pa.array([None], pa.string())], ["state", "word"])
+            del block, lists, flat, number, rest, other, codes, coded
+            # the first byte tells whether the block goes on in the next row
+            for at in range(0, len(state), STATE_BYTES):
+                part = (b"+" if at + STATE_BYTES < len(state) else b".") + state[at : at + STATE_BYTES]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary()), pa.array([None], pa.string())], ["state", "word"])
+            del state
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -290,15 +298,27 @@ def _assembled(known, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] = []
+        state: list[bytes] = []
         for batch in batches:
             at = 0
             for row in np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                block = pa.ipc.open_stream(batch.column(0)[row].as_buffer()).read_all().combine_chunks().to_batches()[0]
-                ids = pa.concat_arrays([_value(known), *held, batch.column(1).slice(at, row - at)])
+                part = batch.column(0)[row].as_py()
+                state.append(part[1:])
+                held.append(batch.column(1).slice(at, row - at))
+                at = row + 1
+                if part[:1] == b"+":
+                    continue
+                block = pa.ipc.open_stream(b"".join(state)).read_all().combine_chunks().to_batches()[0]
+                ids = pa.concat_arrays([_value(known), *held])
+                held, state = [], []
                 coded = block.column(block.num_columns - 1)
-                joined = pc.binary_join(pa.ListArray.from_arrays(coded.offsets, ids.take(coded.values)), ",")
-                yield pa.RecordBatch.from_arrays([*block.columns[:-1], joined], [*names, "ids"])
-                held, at = [], row + 1
+                for i in range(0, block.num_rows, BATCH_ROWS):
+                    some = coded.slice(i, BATCH_ROWS)
+                    ends = pc.subtract(some.offsets, some.offsets[0])
+                    joined = pc.binary_join(pa.ListArray.from_arrays(ends, ids.take(some.flatten())), ",")
+                    yield pa.RecordBatch.from_arrays([*[c.slice(i, BATCH_ROWS) for c in block.columns[:-1]], joined], [*names, "ids"])
+                del block, coded, ids
+                pa.default_memory_pool().release_unused()
             held.append(batch.column(1).slice(at))
 
     return run

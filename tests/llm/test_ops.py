@@ -283,8 +283,9 @@ def test_bpe_blocks(spark, monkeypatch):
         def __init__(self, values):
             self.value = byte_bpe._stream(pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["c"]))
 
-    for size in (1, 3, 1000):
+    for size, wide in ((1, 1 << 18), (3, 100), (1000, 7)):
         monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", size)
+        monkeypatch.setattr(byte_bpe, "STATE_BYTES", wide)
         numbered = list(byte_bpe._numbered(Shared(["a"]))(iter(batches)))
         folded = [pa.RecordBatch.from_arrays([b.column(0), pa.array([w and w.upper() for w in b.column(1).to_pylist()], pa.string())], ["state", "ids"]) for b in numbered]
         out = pa.Table.from_batches(list(byte_bpe._assembled(Shared(["1"]), ["id"])(iter(folded))))
