@@ -62,12 +62,28 @@ def draw(probs: DataFrame, seed: int) -> DataFrame:
     return d.groupBy("step_id").agg(F.min_by("token_id", "__c").alias("token_id"))
 
 
-def cross_entropy(logits: DataFrame, targets: DataFrame, pad_id: int = 1) -> DataFrame:
-    """Mean of -log softmax at ``targets(step_id, target)``; targets that are padding do not count."""
+def step_losses(logits: DataFrame, targets: DataFrame, pad_id: int = 1) -> DataFrame:
+    """``(step_id, loss)``: -log softmax at ``targets(step_id, target)``; targets that are padding have no row."""
     top = logits.groupBy("step_id").agg(F.max("logit").alias("m"))
     d = logits.join(top, "step_id").join(targets.filter(F.col("target") != pad_id), "step_id")
-    each = d.groupBy("step_id").agg((F.log(F.sum(F.exp(F.col("logit") - F.col("m")))) + F.first("m") - F.max(F.when(F.col("token_id") == F.col("target"), F.col("logit")))).alias("loss"))
-    return each.agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+    return d.groupBy("step_id").agg((F.log(F.sum(F.exp(F.col("logit") - F.col("m")))) + F.first("m") - F.max(F.when(F.col("token_id") == F.col("target"), F.col("logit")))).alias("loss"))
+
+
+def cross_entropy(logits: DataFrame, targets: DataFrame, pad_id: int = 1) -> DataFrame:
+    """Mean of the losses of all steps."""
+    return step_losses(logits, targets, pad_id).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+def evaluation_loss(losses: DataFrame, batch_size: int, max_batches: int = 0) -> DataFrame:
+    """``(batches, loss)``: the mean of the batches' mean losses; 0 without a batch.
+
+    ``losses(step_id, loss)`` are dealt to batches by their step; with ``max_batches``
+    only the batches of the lowest numbers that have a loss count.
+    """
+    batches = losses.groupBy(F.floor(F.col("step_id") / batch_size).alias("batch")).agg(F.avg("loss").alias("loss"))
+    if max_batches:
+        batches = batches.orderBy("batch").limit(max_batches)
+    return batches.agg(F.count("*").alias("batches"), F.round(F.coalesce(F.sum("loss"), F.lit(0.0)) / F.greatest(F.lit(1), F.count("*")), 6).alias("loss"))
 
 
 def checked_ids(tokens: DataFrame, vocab: int, column: str = "token_id") -> DataFrame:

@@ -184,6 +184,14 @@ def pair_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pair_frequency(corpus.word_frequency(documents(spark, sf_dir), 1))
 
 
+@query
+def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    words = docs.select("doc_id", F.explode(tx.words(tx.normalise(tx.text_or_empty(F.col("text"))))).alias("word"))
+    d = tokens.token_to_id(words, tokens.vocabulary(corpus.word_frequency(docs, 1), 200))
+    return d.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("id").isNull()).alias("unknown"), F.coalesce(F.sum("id"), F.lit(0)).cast("long").alias("id_sum"))
+
+
 # -- tokens ----------------------------------------------------------------------------------------------------------
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,23 +245,20 @@ def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class WordPieces:
-    """A tokenizer for the statistics below: a vocabulary file of the installed tokenizers, else bytes."""
+    """A tokenizer for the statistics below: a vocabulary file of the installed tokenizers; without them an error."""
 
     def __init__(self):
-        try:
-            import public_tokenizers
-            from tokenizers import Tokenizer
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-            self.tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-            self.tok.encode_special_tokens = True
-        except ImportError:
-            self.tok = None
+        self.tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        self.tok.encode_special_tokens = True
 
     def encode(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids if self.tok else list(text.encode())
+        return self.tok.encode(text, add_special_tokens=False).ids
 
     def decode(self, ids: list[int]) -> str:
-        return self.tok.decode(ids) if self.tok else bytes(ids).decode()
+        return self.tok.decode(ids)
 
 
 @query
@@ -346,6 +351,13 @@ def masked_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.cross_entropy(d, t, pad_id=1)
 
 
+@query
+def eval_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation loss over at most 16 batches of 8 steps: the cap is the feature."""
+    t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("step_id"), (F.col("vec_id") % 7).cast("int").alias("target"))
+    return sampling.evaluation_loss(sampling.step_losses(_logits(spark, sf_dir), t, pad_id=1), 8, 16)
+
+
 def _hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label as a sequence in the order of their ids; every fifth is masked at the end of its thousand."""
     e = table(spark, sf_dir, "embeddings")

@@ -117,6 +117,9 @@ ORACLE_SQL: dict[str, str] = {
     "shard_assignment": "select doc_id, (doc_id % 30)::int as shard, case when doc_id % 30 >= 8 then (doc_id % 30 % 8)::int end as worker from documents",
     "prefix_sample": "with b as (select doc_id, strlen(coalesce(text, '')) as bytes, coalesce(sum(strlen(coalesce(text, '')) + 2) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents) select doc_id, bytes, start from b where start + bytes + 2 <= 1000000",
     "word_frequency": f"with w as (select unnest({_WORDS}) as word from documents) select word, count(*) as n from w group by word having count(*) >= 2",
+    "token_lookup": f"""with w as (select doc_id, unnest({_WORDS}) as word from documents), c as (select word, count(*) as n from w where word not in ('<eos>', '<pad>') group by word),
+        v as (select word, row_number() over (order by n desc, word) + 1 as id from c order by n desc, word limit 200)
+        select doc_id, count(*) as words, count(*) filter (id is null) as unknown, coalesce(sum(id), 0)::bigint as id_sum from w left join v using (word) group by doc_id""",
     "pair_frequency": f"with w as (select unnest({_WORDS}) as word from documents), c as (select word, count(*) as n from w group by word), i as (select n, word, unnest(range(1, length(word))) as i from c), p as (select n, substr(word, i, 2) as pair from i) select pair, sum(n)::bigint as n from p group by pair having sum(n) >= 2",
     "token_offsets": f"with {_TOK} select doc_id, n, off from placed",
     "token_windows": f"""with {_TOK}, w as (select pos // 64 as win, pos % 64 as i, tok from flat), nw as (select case when n - 65 >= 0 then (n - 65) // 64 + 1 else 1 end as c from tot),
@@ -145,6 +148,7 @@ ORACLE_SQL: dict[str, str] = {
     "top_p_nucleus": f"with {_LOGITS}, {_soft('logits', '(logit / 0.05::double)')}, {_NUCLEUS} select step_id, token_id, round(p, 6) as p from kept",
     "next_token_distribution": f"with {_LOGITS}, {_PENAL}, tk as (select step_id, token_id, logit / 0.1::double as logit, rank() over (partition by step_id order by logit / 0.1::double desc) as rk from pen), cut as (select * from tk where rk <= 20), {_soft('cut')}, {_NUCLEUS} select step_id, token_id, round(p, 6) as p from kept",
     "masked_ce": f"with {_LOGITS}, l as (select step_id, ln(sum(exp(logit - mx))) + max(mx) - max(logit) filter (token_id = step_id % 7) as loss from (select *, max(logit) over (partition by step_id) as mx from logits) group by step_id) select count(*) as n, round(avg(loss), 6) as loss from l where step_id % 7 <> 1",
+    "eval_loss": f"with {_LOGITS}, l as (select step_id, ln(sum(exp(logit - mx))) + max(mx) - max(logit) filter (token_id = step_id % 7) as loss from (select *, max(logit) over (partition by step_id) as mx from logits) group by step_id), b as (select step_id // 8 as batch, avg(loss) as loss from l where step_id % 7 <> 1 group by 1 order by 1 limit 16) select count(*) as batches, round(coalesce(sum(loss), 0) / greatest(1, count(*)), 6) as loss from b",
     "pool_mean": "with g as (select label as seq_id, (i - 1)::int as i, embedding[i]::double as x, vec_id % 5 <> 0 as m from embeddings, range(1, 65) as r(i)) select seq_id, i, round(coalesce(sum(x) filter (m), 0) / greatest(count(*) filter (m), 1e-9), 6) as v from g group by seq_id, i",
     "pool_last": "with h as (select vec_id // 8 as seq_id, vec_id % 8 as pos, embedding, (vec_id % 8 < (vec_id / 8) % 8)::int as mask from embeddings), n as (select seq_id, greatest(sum(mask) - 1, 0) as lastpos from h group by seq_id) select h.seq_id, (i - 1)::int as i, round(embedding[i]::double, 6) as v from h join n on h.seq_id = n.seq_id and h.pos = n.lastpos, range(1, 65) as r(i)",
     "l2_normalize": "with n as (select vec_id, embedding, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 1e-12) as l from embeddings) select vec_id, (i - 1)::int as i, round(embedding[i]::double / l, 6) as v from n, range(1, 65) as r(i)",
