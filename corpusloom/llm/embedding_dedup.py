@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -197,14 +198,27 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
        forest and another descent add to the lists, up to ``tries`` times; a last
        try that is still below gives a warning with the share found.
 
-    Vectors that are null, empty or zero, hold null or non-finite components, or
-    have another length than most vectors link with nothing: no links, their own
-    component.  Rows of equal ids are rows of their own; an empty table gives none.
+    Vectors that are null, empty or zero, or hold null or non-finite components
+    link with nothing: no links, their own component.  Vectors of different
+    lengths have no cosine: each length is searched by itself.  Rows of equal ids
+    are rows of their own; an empty table gives none.
     """
-    spark = df.sparkSession
     raw = stages.write(df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec")))
-    usual = raw.filter(F.size("vec") > 0).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    good = raw.filter((F.size("vec") == (usual[0]["n"] if usual else -1)) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
+    good = stages.write(raw.filter((F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)))
+    lengths = [r["n"] for r in good.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]  # a row for each length
+    parts = [_of_length(good.filter(F.size("vec") == n), stages, threshold, k, trees, rounds, audit, least_recall, tries, seed) for n in lengths or [0]]
+    vertex, of_row, component, counted = (reduce(DataFrame.unionByName, tables) for tables in zip(*parts, strict=True))
+    rows = raw.select("uid", "id").join(of_row, "uid", "left").join(vertex.select("vertex", "copies"), "vertex", "left")
+    rows = rows.join(component.select(F.col("id").alias("vertex"), "component"), "vertex", "left").join(counted.select(F.col("id").alias("vertex"), "links"), "vertex", "left")
+    rows = rows.select("uid", "id", F.when(F.col("vertex").isNull(), F.struct(F.lit(1).alias("alone"), F.col("uid").alias("c"))).otherwise(F.struct(F.lit(0).alias("alone"), F.coalesce("component", "vertex").alias("c"))).alias("class"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"))
+    rows = stages.write(rows)
+    least = stages.write(rows.groupBy("class").agg(F.min("id").alias("component_id")))
+    return rows.join(least, "class").select("uid", F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def _of_length(good: DataFrame, stages: Stages, threshold: float, k: int, trees: int, rounds: int, audit: int, least_recall: float, tries: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The search among sound vectors ``(uid, id, vec)`` of one length: distinct vectors, the vector of each row, components, and links of each vector."""
+    spark = good.sparkSession
     plus = F.transform("vec", lambda x: x + F.lit(0.0))  # -0.0 equals 0.0
     vertex = stages.write(good.groupBy(plus.alias("vec")).agg(F.min("uid").alias("vertex"), F.count("*").alias("copies")))
     of_row = stages.write(good.select("uid", plus.alias("vec")).join(vertex, "vec").select("uid", "vertex"))
@@ -296,12 +310,7 @@ def near_duplicate_vectors(df: DataFrame, stages: Stages, id_col: str = "vec_id"
             break
         if turn == tries - 1:
             warnings.warn(f"{held['links'] or 0} of {held['truth']} audited links found, less than {least_recall}", stacklevel=2)
-    rows = raw.select("uid", "id").join(of_row, "uid", "left").join(vertex.select("vertex", "copies"), "vertex", "left")
-    rows = rows.join(component.select(F.col("id").alias("vertex"), "component"), "vertex", "left").join(counted.select(F.col("id").alias("vertex"), "links"), "vertex", "left")
-    rows = rows.select("uid", "id", F.when(F.col("vertex").isNull(), F.struct(F.lit(1).alias("alone"), F.col("uid").alias("c"))).otherwise(F.struct(F.lit(0).alias("alone"), F.coalesce("component", "vertex").alias("c"))).alias("class"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"))
-    rows = stages.write(rows)
-    least = stages.write(rows.groupBy("class").agg(F.min("id").alias("component_id")))
-    return rows.join(least, "class").select("uid", F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return vertex, of_row, component, counted
 
 
 def _linked(threshold: float):
