@@ -169,16 +169,16 @@ def fit(items: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int
     return net
 
 
-def labelled_findings(prose: list[str], n: int = 2400, seed: int = 11) -> tuple[list[np.ndarray], np.ndarray]:
-    """Findings with labels: base findings of ``prose`` (1), and made-up secrets (1) and look-alikes (0) put into it."""
+def labelled_findings(prose: list[str], n: int = 2400, seed: int = 11, findings: int = 20, vocabulary: int = 4000) -> tuple[list[np.ndarray], np.ndarray]:
+    """Findings with labels: base findings of ``prose`` (1; of each text at most ``findings``, by their first window), and ``n`` made-up secrets (1) and look-alikes (0) put into it, of at most ``vocabulary`` of its words."""
     rng = np.random.default_rng(seed)
     items, labels = [], []
     for text in prose:
-        for s, e, _ in base_spans(text)[:20]:
+        for s, e, _ in base_spans(text)[:findings]:
             items.append(windows(text, s, e)[0])
             labels.append(1)
     pool = [t for t in prose if len(t) >= 80] or ["the quick brown fox jumps over the lazy dog and runs on through the wood until night falls "]
-    words = [w for t in pool for w in t[:4000].split() if w.isascii() and w.isalpha()][:4000] or ["word"]
+    words = [w for t in pool for w in t.split() if w.isascii() and w.isalpha()][:vocabulary] or ["word"]
 
     def draw(alphabet: str, low: int, high: int) -> str:
         return "".join(rng.choice(list(alphabet), rng.integers(low, high + 1)))
@@ -211,11 +211,17 @@ def labelled_findings(prose: list[str], n: int = 2400, seed: int = 11) -> tuple[
     return items, np.array(labels)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Network:
-    """Train on findings in (and put into) the prose of ``max_docs`` documents, those with the smallest id hashes."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_chars: int = 4000) -> Network:
+    """Train on findings in (and put into) the prose of ``max_docs`` documents, those with the smallest id hashes.
+
+    Training alone is bounded, also by ``max_chars`` of each of these texts (from a
+    place that the id's hash gives), which the driver holds; scanning reads all of every text.
+    """
     d = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
     few = d.orderBy("h", "id").limit(max_docs)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few.select("id").distinct()), "id").select("id", F.substring("text", 1, 4000).alias("text")).orderBy("id", "text").limit(max_docs).collect()
+    start = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.length("text") - max_chars + 1)).cast("int") + 1
+    piece = F.substring("text", start, F.lit(max_chars))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few.select("id").distinct()), "id").select("id", piece.alias("text")).orderBy("id", "text").limit(max_docs).collect()
     items, labels = labelled_findings([r["text"] for r in texts])
     return fit(items, labels)
 

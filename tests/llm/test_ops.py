@@ -412,7 +412,7 @@ def test_embeddings(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 16))
     rows = [(base[rng.integers(40)] + rng.normal(size=16) * 0.12).tolist() for _ in range(300)] + [(base[0] + rng.normal(size=16) * 0.02).tolist() for _ in range(120)]
-    rows += [rows[3], rows[3], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, None, [], [1.0, 2.0], [None] + [1.0] * 15, [x * 1e-200 for x in rows[5]]]
+    rows += [rows[3], rows[3], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, None, [], [1.0, 2.0], [None] + [1.0] * 15, [x * 1e-200 for x in rows[5]], [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [-1.0, 2.0, 0.0]]
     d = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "uid": F.lit(2)})
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(d, stages(spark), k=6, trees=6).collect()}
     good = [i for i, v in enumerate(rows) if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
@@ -427,6 +427,8 @@ def test_embeddings(spark):
         new = [min([label[i], *(label[j] for j in np.flatnonzero(near[i]))]) for i in range(len(good))]
         changed, label = new != label, new
     want = {g: (int(near[i].sum()), good[label[i]]) for i, g in enumerate(good)}
+    other = len(rows) - 3  # two of three components, which are alike
+    want |= {other: (1, other), other + 1: (1, other)}
     for i in range(len(rows)):
         assert (got[i]["n_links"], got[i]["component_id"]) == want.get(i, (0, i)), i
         assert got[i]["kept"] == (got[i]["component_id"] == i)
