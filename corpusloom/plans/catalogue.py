@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import analysis, corpus, dedup, mixing, quality, sampling, tokens, vectors
+from corpusloom.operators import analysis, corpus, dedup, mixing, quality, sampler, sampling, tokens, vectors
+from corpusloom.plans.stages import Stages
 from corpusloom.session import ship_code
+from corpusloom.sources import token_store as store
 
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -241,7 +243,26 @@ def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = tokens.window_count(tokens.total(_tokens(spark, sf_dir)), 64, 64)
     per_epoch, _ = analysis.steps(-(-n // 8), 4, 3)
     epoch, _, skip = analysis.resume_position(per_epoch + per_epoch // 3, per_epoch, 4, 8)
-    return tokens.resume(spark.range(n).withColumnRenamed("id", "win"), skip, 42, epoch).select("win", F.col("rank").cast("long").alias("rank"))
+    return sampler.samples(spark, n, 42, epoch, skip)
+
+
+@query
+def replica_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all replicas of three, each with its replica and its place there; what three do not share evenly is left out."""
+    n = tokens.window_count(tokens.total(_tokens(spark, sf_dir)), 64, 64)
+    parts = [sampler.samples(spark, n, 42, 0, replicas=3, replica=r).withColumn("replica", F.lit(r)) for r in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle third of the stream, read back by offset from a store of raw tokens: sums over each thousand of its tokens."""
+    path = Stages(spark, "token_store").root
+    store.write_stream(_tokens(spark, sf_dir), path)
+    stream = store.TokenStream(spark, path)
+    third = stream[len(stream) // 3 : 2 * (len(stream) // 3)].read()
+    d = third.select("off", F.posexplode("tokens").alias("i", "tok")).select((F.col("off") + F.col("i")).alias("pos"), "tok")
+    return d.groupBy(F.floor(F.col("pos") / 1000).alias("part")).agg(F.count("*").alias("n"), F.sum("tok").alias("tok_sum"), F.sum(F.col("tok") * (F.col("pos") % 1000)).alias("place_sum"))
 
 
 class WordPieces:

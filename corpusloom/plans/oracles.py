@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.operators.sampler import permutation_sql
+
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
@@ -131,8 +133,12 @@ ORACLE_SQL: dict[str, str] = {
     "split_train_val": f"""with {_TOK}, s as (select floor(n * (1 - 0.1::double))::bigint as cutpos, n as total from tot),
         c as (select 'train' as part, 0 as a, cutpos as b from s union all select 'val', cutpos, total from s)
         select part, doc_id, greatest(off, a) - a as off, least(off + n, b) - greatest(off, a) as n from placed, c where off < b and off + n > a""",
-    "resume_skip": f"""with {_TOK}, nw as (select (n - 65) // 64 + 1 as c from tot), st as (select c, ceil(ceil(c / 8) / 4)::bigint as per from nw), w as (select i as win from range((select c from st)) as g(i)),
-        r as (select win, row_number() over (order by md5('42:1:' || win), win) - 1 as rank from w) select win, rank from r where rank >= (select (per // 3) * 32 from st)""",
+    "resume_skip": f"""with {_TOK}, nw as (select (n - 65) // 64 + 1 as c from tot), st as (select c, ceil(ceil(c / 8) / 4)::bigint as per from nw), w as (select i from range((select c from st)) as g(i)),
+        p as {permutation_sql("i", "(select c from nw)", 42, 1)} select y as win, i as rank from p where i >= (select (per // 3) * 32 from st)""",
+    "replica_samples": f"""with {_TOK}, nw as (select (n - 65) // 64 + 1 as c from tot), w as (select i from range((select c // 3 * 3 from nw)) as g(i)),
+        p as {permutation_sql("i", "(select c from nw)", 42, 0)} select i // 3 as rank, y as win, (i % 3)::int as replica from p""",
+    "token_store": f"""with {_TOK}, third as (select n // 3 as third from tot), p as (select pos - third as pos, tok from flat, third where pos >= third and pos < 2 * third)
+        select pos // 1000 as part, count(*) as n, sum(tok)::bigint as tok_sum, sum(tok * (pos % 1000))::bigint as place_sum from p group by 1""",
     "vocab_cost": f"""with t as (select sum(length(text))::bigint as chars, sum(len({_WORDS}))::bigint as words from documents),
         v as (select ord::int as ord, vocab::bigint as vocab, (case when vocab < 48000 then vocab else 47000 end)::bigint as actual, chars // (2 + ord) as tokens, chars, words from t, (values (0, 8000), (1, 16000), (2, 24000), (3, 32000), (4, 48000)) as x(ord, vocab)),
         c as (select *, actual * 640 as e, (8 * (4 * 640 * 640 + 3 * 640 * floor(8 * 640 / 3) + 4 * 640) + 2 * 640)::bigint as b from v)

@@ -41,12 +41,13 @@ def test_slices_and_parts(spark):
         assert [t for r in rows for t in r["tokens"]] == flat[slice(start, stop)]
 
 
-def test_resume_and_replicas(spark):
-    w = spark.range(20).withColumnRenamed("id", "win")
-    full = [r["win"] for r in tokens.resume(w, 0, 1, 0).orderBy("rank").collect()]
-    rest = tokens.resume(w, 7, 1, 0)
-    assert sorted(full) == list(range(20)) and [r["win"] for r in rest.orderBy("rank").collect()] == full[7:]
-    assert sum(tokens.rank_shard(tokens.resume(w, 0, 1, 0), 3, i).count() for i in range(3)) == 18
+def test_offsets_join_narrow_rows(spark):
+    d = placed(spark, [3, 0, 9])
+    plan = d.select("doc_id", "off")._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "tokens" not in window.split("Join")[0].split("Project")[0]
+    with pytest.raises(Exception, match="name a document"):
+        tokens.offsets(spark.createDataFrame([(1, [1]), (1, [2])], "doc_id long, tokens array<int>")).collect()
 
 
 def test_prefix(spark):
