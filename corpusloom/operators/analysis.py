@@ -34,8 +34,8 @@ def vocab_cost(vocabs: DataFrame, dim: int, layers: int, chars: int, words: int,
         F.round(F.col("embed_params") / F.col("total_params") * 100, 6).alias("embed_pct"),
         F.round(head / (head + 2 * F.col("body_params") + F.lit(4 * layers * ctx * dim)) * 100, 6).alias("head_flop_pct"),
         F.round("tok_per_char", 6).alias("tok_per_char"), F.round("tok_per_word", 6).alias("tok_per_word"),
-        F.floor(512 / F.col("tok_per_char")).cast("long").alias("context_chars"),
-        F.round((F.col("tokens") / last - 1) * 100, 6).alias("extra_tokens_pct"),
+        F.floor(F.try_divide(F.lit(512.0), F.col("tok_per_char"))).cast("long").alias("context_chars"),
+        F.round((F.try_divide(F.col("tokens"), last) - 1) * 100, 6).alias("extra_tokens_pct"),
     )
 
 

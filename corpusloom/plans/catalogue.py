@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import bytelevel
 from corpusloom.functions import text as tx
-from corpusloom.operators import analysis, corpus, dedup, mixing, quality, sampler, sampling, tokens, vectors
+from corpusloom.operators import analysis, bpe, corpus, dedup, mixing, quality, sampler, sampling, tokens, vectors
 from corpusloom.plans.stages import Stages
 from corpusloom.session import ship_code
 from corpusloom.sources import token_store as store
@@ -265,36 +266,48 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.floor(F.col("pos") / 1000).alias("part")).agg(F.count("*").alias("n"), F.sum("tok").alias("tok_sum"), F.sum(F.col("tok") * (F.col("pos") % 1000)).alias("place_sum"))
 
 
-class WordPieces:
-    """A tokenizer for the statistics below: a vocabulary file of the installed tokenizers; without them an error."""
+def _ranks(spark: SparkSession, name: str) -> dict[bytes, int]:
+    """A vocabulary of the installed tokenizers; without them an error."""
+    import public_tokenizers
 
-    def __init__(self):
-        import public_tokenizers
-        from tokenizers import Tokenizer
+    return bpe.ranks_of(bpe.read_vocabulary(spark, f"file://{public_tokenizers.path(name)}"))
 
-        self.tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        self.tok.encode_special_tokens = True
 
-    def encode(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def decode(self, ids: list[int]) -> str:
-        return self.tok.decode(ids)
+@query
+def bpe_encode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each language, with an end token for each document."""
+    d = documents(spark, sf_dir).select("lang", tx.text_or_empty(F.col("text")).alias("text"))
+    words = bpe.word_counts(d, ["lang"], nfc=False, prefix_space=False)
+    counts = bpe.token_counts(words, _ranks(spark, "byte_bpe_50k.tiktoken"), [50256], ["lang"])
+    whole = d.groupBy("lang").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("ends"))
+    tokens_of = (F.coalesce("tokens", F.lit(0)) + F.col("ends")).cast("long")
+    out = whole.join(counts.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")), "left")
+    return out.select("lang", tokens_of.alias("tokens"), "chars", F.round(F.try_divide(tokens_of, F.col("chars")), 6).alias("tok_per_char"))
 
 
 @query
-def bpe_encode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("lang", "text", tokens.encoder(WordPieces, add_eos=True, eos=50256)("text").alias("ids"))
-    return d.groupBy("lang").agg(F.sum(F.size("ids")).cast("long").alias("tokens"), F.sum(F.length("text")).cast("long").alias("chars"), F.round(F.sum(F.size("ids")) / F.sum(F.length("text")), 6).alias("tok_per_char"))
+def byte_pair_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring bytes within the words of byte-level vocabularies, which merges are counted on."""
+    t = tx.words(tx.normalise(tx.text_or_empty(F.col("text"))))
+    words = documents(spark, sf_dir).select(F.explode(t).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return bpe.byte_pair_counts(words.select(bytelevel.with_prefix_space(F.col("word")).alias("word"), "n"))
 
 
 # -- analysis --------------------------------------------------------------------------------------------------------
 
+VOCABULARIES = (8000, 16000, 24000, 32000, 48000)
+
+
 @query
 def vocab_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars, words = table(spark, sf_dir, "documents").agg(F.sum(F.length("text")), F.sum(F.size(tx.words(tx.normalise(F.col("text")))))).first()
-    rows = [(i, v, v if v < 48000 else 47000, chars // (2 + i)) for i, v in enumerate((8000, 16000, 24000, 32000, 48000))]
-    return analysis.vocab_cost(spark.createDataFrame(rows, "ord int, vocab long, actual long, tokens long"), 640, 8, chars, words)
+    """What vocabularies of five sizes cost: the first tokens of one list, whose counts come from one fold of the corpus's words."""
+    docs = documents(spark, sf_dir)
+    chars, words = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(F.size(tx.words(tx.normalise(tx.text_or_empty(F.col("text")))))), F.lit(0))).first()
+    ranks = _ranks(spark, "byte_bpe_multi_50k.tiktoken")
+    sizes = spark.createDataFrame([(i, v, min(v, len(ranks))) for i, v in enumerate(VOCABULARIES)], "ord int, vocab long, actual long")
+    counts = bpe.token_counts(bpe.word_counts(docs), ranks, VOCABULARIES)  # a row for each size
+    listed = sizes.join(F.broadcast(counts), F.col("vocab") == F.col("size"), "left").select("ord", "vocab", "actual", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return analysis.vocab_cost(listed, 640, 8, chars, words)
 
 
 @query

@@ -139,11 +139,12 @@ ORACLE_SQL: dict[str, str] = {
         p as {permutation_sql("i", "(select c from nw)", 42, 0)} select i // 3 as rank, y as win, (i % 3)::int as replica from p""",
     "token_store": f"""with {_TOK}, third as (select n // 3 as third from tot), p as (select pos - third as pos, tok from flat, third where pos >= third and pos < 2 * third)
         select pos // 1000 as part, count(*) as n, sum(tok)::bigint as tok_sum, sum(tok * (pos % 1000))::bigint as place_sum from p group by 1""",
-    "vocab_cost": f"""with t as (select sum(length(text))::bigint as chars, sum(len({_WORDS}))::bigint as words from documents),
-        v as (select ord::int as ord, vocab::bigint as vocab, (case when vocab < 48000 then vocab else 47000 end)::bigint as actual, chars // (2 + ord) as tokens, chars, words from t, (values (0, 8000), (1, 16000), (2, 24000), (3, 32000), (4, 48000)) as x(ord, vocab)),
-        c as (select *, actual * 640 as e, (8 * (4 * 640 * 640 + 3 * 640 * floor(8 * 640 / 3) + 4 * 640) + 2 * 640)::bigint as b from v)
-        select ord, vocab, actual, actual >= 0.99 * vocab as "full", e as embed_params, b as body_params, e + b as total_params, round(e / (e + b) * 100, 6) as embed_pct, round(2 * e / (2 * e + 2 * b + 4 * 8 * 512 * 640) * 100, 6) as head_flop_pct,
-        round(tokens / chars, 6) as tok_per_char, round(tokens / words, 6) as tok_per_word, floor(512 / (tokens / chars))::bigint as context_chars, round((tokens / last_value(tokens) over (order by ord rows between unbounded preceding and unbounded following) - 1) * 100, 6) as extra_tokens_pct from c""",
+    "byte_pair_frequency": f"""with w as (select unnest({_WORDS}) as word from documents), c as (select ' ' || word as word, count(*) as n from w group by 1),
+        b as (select n, unnest(list_zip(range(1, len(x)), range(2, len(x) + 1))) as i, x from (select n, string_split_regex(rtrim(regexp_replace(hex(encode(word)), '(..)', '\\1 ', 'g')), ' ') as x from c)),
+        v as (select list_concat(range(33, 127), range(161, 173), range(174, 256)) as v), t as (select list_concat(v, list_filter(range(256), lambda k: not list_contains(v, k))) as t, len(v) as m from v),
+        s as (select list_transform(range(256), lambda k: case when list_position(t, k) <= m then chr(k::int) else chr((255 + list_position(t, k) - m)::int) end) as s from t),
+        p as (select n, s[('0x' || x[i[1]])::int + 1] || s[('0x' || x[i[2]])::int + 1] as pair from b, s)
+        select pair, sum(n)::bigint as n from p group by pair having sum(n) >= 2""",
     "lr_schedule": "select s as step, round(case when s < 20 then (s + 1) / 20 else 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s - 20) / 980))) end, 6) as mult from range(1000) as r(s)",
     "layer_placement": "with i as (select s, round_even(s * 11 / 7, 0)::bigint as want from range(8) as r(s)), p as (select s, s + max(want - s) over (order by s) as layer from i) select l as layer, coalesce(s, -1) as source from range(12) as g(l) left join p on p.layer = l",
     "rope_table": "select pos, i, round(cos(pos * power(10000.0::double, -(i * 2.0) / 32)), 6) as cos, round(sin(pos * power(10000.0::double, -(i * 2.0) / 32)), 6) as sin from range(64) as a(pos), range(16) as b(i)",
