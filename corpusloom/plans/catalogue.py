@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import bytelevel
 from corpusloom.functions import text as tx
-from corpusloom.operators import analysis, bpe, corpus, dedup, mixing, quality, sampler, sampling, tokens, vectors
+from corpusloom.operators import analysis, arrivals, bpe, corpus, dedup, mixing, quality, sampler, sampling, tokens, vectors
+from corpusloom.plans import preparation
 from corpusloom.plans.stages import Stages
 from corpusloom.session import ship_code
+from corpusloom.sources import corpus_file, files
 from corpusloom.sources import token_store as store
+from corpusloom.streaming import pull
 
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -88,6 +91,18 @@ def exact_dedup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_first(d, F.col("key")).select("doc_id", "first_id")
 
 
+@query
+def arrivals_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in three arrivals: the first of equal texts among all that have come."""
+    d = documents(spark, sf_dir).select("doc_id", F.md5(tx.normalise(tx.text_or_empty(F.col("text")))).alias("key"))
+    d = Stages(spark, "arrivals").write(d)
+    seen, out = arrivals.Fingerprints(spark, f"{Stages(spark, 'fingerprints').root}/table"), None
+    for i in range(3):
+        part = seen.admit(d.filter(F.col("doc_id") % 3 == i), i, F.col("key")).select("doc_id", F.lit(i).alias("arrival"), "first_id", "first_arrival")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def simhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tx.text_or_empty(F.col("text"))
@@ -119,40 +134,72 @@ def dedup_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- mixing ----------------------------------------------------------------------------------------------------------
 
-LANGS, WEIGHTS, MIX_TARGET = ("en", "fr", "de"), (0.70, 0.20, 0.10), 200
+LANGS, WEIGHTS = ("en", "fr", "de"), (0.70, 0.20, 0.10)
 #: For the mixes, a lower share of Turkish letters lets English through.
 MIX_LIMITS = {"min_turkish": 0.0, "min_length": 100}
 
 
-def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sourced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Documents of the listed languages with their verdicts, and three quarters of the accepted ones: so many that a source runs dry."""
     d = quality.judged(documents(spark, sf_dir).select("doc_id", "lang", "text"), **MIX_LIMITS)
     number = F.coalesce(*[F.when(F.col("lang") == lang, i) for i, lang in enumerate(LANGS)])
-    return d.select("doc_id", number.alias("source_id"), "reason").filter("source_id is not null").persist()  # narrow, and read several times
+    d = Stages(spark, "sourced").write(d.select("doc_id", number.alias("source_id"), "reason").filter("source_id is not null"))  # narrow, and read several times
+    return d, max(1, d.filter("reason is null").count() * 3 // 4)
 
 
 @query
 def mix_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.mix(_sourced(spark, sf_dir).filter("reason is null"), WEIGHTS, MIX_TARGET)
+    judged, target = _sourced(spark, sf_dir)
+    d = mixing.mix(judged.filter("reason is null"), WEIGHTS, target)
     return d.select("doc_id", "source_id", F.col("k").cast("long").alias("k"), "mix_pos")
 
 
 @query
 def mix_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.mix(_sourced(spark, sf_dir).filter("reason is null"), WEIGHTS, MIX_TARGET, whole_rounds=True)
+    judged, target = _sourced(spark, sf_dir)
+    d = mixing.mix(judged.filter("reason is null"), WEIGHTS, target, whole_rounds=True)
     return d.select("doc_id", "source_id", F.col("k").cast("long").alias("k"), "mix_pos")
 
 
 @query
 def mix_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.reject_counts(_sourced(spark, sf_dir), WEIGHTS, MIX_TARGET)
+    judged, target = _sourced(spark, sf_dir)
+    return mixing.reject_counts(judged, WEIGHTS, target)
 
 
 @query
 def worker_limited_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.worker_limited(_sourced(spark, sf_dir).filter("reason is null").select("doc_id"), 8, MIX_TARGET // 8 + 1)
+    judged, target = _sourced(spark, sf_dir)
+    d = mixing.worker_limited(judged.filter("reason is null").select("doc_id"), 8, target // 8 + 1)
     return d.select("doc_id", "worker", F.col("k").cast("long").alias("k"))
 
 
+@query
+def pulled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted documents as a stream, of which each language gives its share of a quarter of them."""
+    judged, _ = _sourced(spark, sf_dir)
+    good = judged.filter("reason is null")
+    quarter = good.count() // 4
+    stages = Stages(spark, "pulled")
+    stages.write(good)
+    took = pull.Pull(spark, f"{stages.root}/taken", [quarter * q // 100 + 1 for q in mixing.quotas(WEIGHTS)])
+    took.run(spark.readStream.schema(good.schema).parquet(f"{stages.root}/001"), f"{stages.root}/check")
+    return took.rows().select("doc_id", "source_id", F.col("k").cast("long").alias("k"))
+
+
+@query
+def prepared_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole preparation, a language for each source: judged, mixed, without copies, written as text, encoded into a store; its documents."""
+    docs, stages = documents(spark, sf_dir), Stages(spark, "prepared")
+    paths = [f"{stages.root}/{lang}" for lang in LANGS]
+    for lang, path in zip(LANGS, paths, strict=True):
+        docs.filter(F.col("lang") == lang).select("doc_id", "text").write.parquet(path)
+    target = max(1, _sourced(spark, sf_dir)[1])
+    settings = preparation.Settings(target=target, **MIX_LIMITS)
+    run, made = preparation.prepare(spark, f"{stages.root}/run", paths, WEIGHTS, _vocabulary("byte_bpe_multi_50k.tiktoken"), settings)
+    return run.read(made["dedup"]).select("source_id", "id", "mix_pos", F.md5("text").alias("text_md5"))
+
+
 @query
 def source_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.sources_table(spark, mixing.plan(mixing.QUALITY_SOURCES, mixing.QUALITY_TARGET, 15))
@@ -170,6 +217,22 @@ def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("worker", F.when(F.col("shard") >= 8, F.col("shard") % 8))
 
 
+@query
+def worker_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt into 30 files by id; each of eight workers opens the files of its shards, from shard 8 on."""
+    root = f"{Stages(spark, 'shards').root}/files"
+    d = corpus.shard(table(spark, sf_dir, "documents").select("doc_id"), 30)
+    # a file for each shard, named so that their order is the shards'
+    d.select("doc_id", F.format_string("%02d", "shard").alias("part")).repartition("part").write.partitionBy("part").parquet(root)
+    out = None
+    names = [int(f.path.split("part=")[1][:2]) for f in files.list_files(spark, root)]
+    for worker in range(8):
+        mine = [i for i, shard in enumerate(names) if shard >= 8 and shard % 8 == worker]
+        rows = files.read_shards(spark, root, len(names), mine).select("doc_id", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("shard") + 1).alias("shard"), F.lit(worker).alias("worker"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # -- corpus ----------------------------------------------------------------------------------------------------------
 
 @query
@@ -177,6 +240,16 @@ def prefix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.prefix_sample(table(spark, sf_dir, "documents"), 1_000_000)
 
 
+@query
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two corpus files, of even and of odd ids, written and read back one after the other; one that does not exist is left out."""
+    docs, root = documents(spark, sf_dir), Stages(spark, "corpus").root
+    for i in range(2):
+        corpus_file.write_corpus(docs.filter(F.col("doc_id") % 2 == i), f"{root}/{i}")
+    back = corpus_file.read_corpora(spark, [f"{root}/{i}" for i in range(3)])
+    return back.groupBy("file_no", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
+
+
 @query
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.word_frequency(documents(spark, sf_dir))
@@ -200,7 +273,8 @@ def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word lengths as token ids, which SQL can repeat, and an end token."""
     t = tx.words(tx.normalise(tx.text_or_empty(F.col("text"))))
-    return tokens.offsets(documents(spark, sf_dir).select("doc_id", tokens.with_eos(tokens.word_length_tokens(t)).alias("tokens")).persist())  # read for its bounds, its sums and its rows
+    d = documents(spark, sf_dir).select("doc_id", tokens.with_eos(tokens.word_length_tokens(t)).alias("tokens"))
+    return tokens.offsets(Stages(spark, "tokens").write(d))  # read for its bounds, its sums and its rows
 
 
 @query
@@ -266,11 +340,23 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.floor(F.col("pos") / 1000).alias("part")).agg(F.count("*").alias("n"), F.sum("tok").alias("tok_sum"), F.sum(F.col("tok") * (F.col("pos") % 1000)).alias("place_sum"))
 
 
-def _ranks(spark: SparkSession, name: str) -> dict[bytes, int]:
-    """A vocabulary of the installed tokenizers; without them an error."""
+def _vocabulary(name: str) -> str:
+    """A file of the installed tokenizers; without them an error."""
     import public_tokenizers
 
-    return bpe.ranks_of(bpe.read_vocabulary(spark, f"file://{public_tokenizers.path(name)}"))
+    return f"file://{public_tokenizers.path(name)}"
+
+
+def _ranks(spark: SparkSession, name: str) -> dict[bytes, int]:
+    return bpe.ranks_of(bpe.read_vocabulary(spark, _vocabulary(name)))
+
+
+@query
+def decoded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were encoded, padded to the end token and decoded again."""
+    ranks = spark.sparkContext.broadcast(_ranks(spark, "byte_bpe_multi_50k.tiktoken"))
+    ids, back = tokens.encoder(lambda: bpe.Encoder(ranks.value), add_eos=True, eos=50256), tokens.decoder(lambda: bpe.Encoder(ranks.value))
+    return documents(spark, sf_dir).select("doc_id", F.md5(back(ids("text"))).alias("text_md5"))
 
 
 @query

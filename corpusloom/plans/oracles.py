@@ -70,6 +70,9 @@ good as (select doc_id, source_id, row_number() over (partition by source_id ord
          case source_id when 0 then 70 when 1 then 20 else 10 end as p from src where reason is null),
 placed as (select *, k // p as r, row_number() over (order by k // p, source_id, k) - 1 as mix_pos from good)"""
 
+#: Three quarters of the accepted documents, so that the source of the greatest weight runs dry.
+_TARGET = "(select greatest(1, count(*) * 3 // 4) from good)"
+
 _TOK = f"""
 tk as (select doc_id, list_concat(list_transform({_WORDS}, lambda w: (length(w) % 997 + 3)::int), [2]) as tokens from documents),
 placed as (select doc_id, tokens, len(tokens) as n, (coalesce(sum(len(tokens)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::bigint as off from tk),
@@ -101,15 +104,16 @@ ORACLE_SQL: dict[str, str] = {
     "near_dup_flags": f"with {_FLAGS} select * from flags",
     "dedup_summary": f"with {_FLAGS} select count(*) as docs, count(*) filter (exact_dup) as exact_dups, round(count(*) filter (exact_dup) / nullif(count(*), 0) * 100, 6) as exact_pct, count(*) filter (near_dup) as near_dups, round(count(*) filter (near_dup) / nullif(count(*), 0) * 100, 6) as near_pct, count(*) filter (not exact_dup and not near_dup) as kept, round(count(*) filter (not exact_dup and not near_dup) / nullif(count(*), 0) * 100, 6) as kept_pct from flags",
     "dedup_corpus": f"with {_FLAGS} select doc_id, md5(text) as text_md5 from documents join flags using (doc_id) where not exact_dup and not near_dup",
-    "mix_serial": f"with {_MIX_BASE} select doc_id, source_id::int as source_id, k, mix_pos from placed where mix_pos < 200",
-    "mix_parallel": f"with {_MIX_BASE} select doc_id, source_id::int as source_id, k, mix_pos from placed where r <= coalesce((select r from placed where mix_pos = 199), (select max(r) from placed))",
+    "mix_serial": f"with {_MIX_BASE} select doc_id, source_id::int as source_id, k, mix_pos from placed where mix_pos < {_TARGET}",
+    "mix_parallel": f"with {_MIX_BASE} select doc_id, source_id::int as source_id, k, mix_pos from placed where r <= coalesce((select r from placed where mix_pos = {_TARGET} - 1), (select max(r) from placed))",
     "mix_reject_counts": f"""with {_MIX_BASE},
-        acc as (select source_id, max(p) as p, count(*) as a, count(*) filter (mix_pos < 200) as taken from good join placed using (doc_id, source_id, k, p) group by source_id),
-        dry as (select a.source_id, a.taken, (select count(*) from placed q where (q.r, q.source_id, q.k) < (a.a // a.p, a.source_id, a.a)) < 200 as dry from acc a),
+        goal as (select {_TARGET} as target),
+        acc as (select source_id, max(p) as p, count(*) as a, count(*) filter (mix_pos < (select target from goal)) as taken from good join placed using (doc_id, source_id, k, p) group by source_id),
+        dry as (select a.source_id, a.taken, (select count(*) from placed q where (q.r, q.source_id, q.k) < (a.a // a.p, a.source_id, a.a)) < (select target from goal) as dry from acc a),
         ranked as (select *, count(*) filter (reason is null) over (partition by source_id order by doc_id rows between unbounded preceding and 1 preceding) as before from src)
         select r.source_id::int as source_id, count(*) filter (reason is null and before < taken) as written, count(*) filter (reason is not null and (dry or before < taken)) as rejected, bool_and(dry) as dry
         from ranked r join dry using (source_id) group by r.source_id""",
-    "worker_limited_docs": f"with {_MIX_BASE}, w as (select doc_id, (doc_id % 8)::int as worker, row_number() over (partition by doc_id % 8 order by doc_id) - 1 as k from good) select * from w where k < 26",
+    "worker_limited_docs": f"with {_MIX_BASE}, w as (select doc_id, (doc_id % 8)::int as worker, row_number() over (partition by doc_id % 8 order by doc_id) - 1 as k from good) select * from w where k < {_TARGET} // 8 + 1",
     "source_plan": """with s as (select * from (values (0, 'turkish-nlp-suite/BellaTurca/OzenliDerlem', 0.325::double, 6), (1, 'turkish-nlp-suite/BellaTurca/AkademikDerlem', 0.157::double, 4), (2, 'turkish-nlp-suite/BellaTurca/temiz-OSCAR', 0.518::double, 4)) as v(source_id, label, weight, ust)),
         p as (select *, greatest(1, round_even(weight / (select sum(weight) from s) * 100, 0))::int as quota, greatest(1, floor(4267823 * weight / (select sum(weight) from s)))::bigint as target, greatest(1, least(round_even(15 * weight / (select sum(weight) from s), 0)::int, ust)) as workers from s)
         select source_id, label, weight, quota, target, workers::int as workers, (target // workers + 1)::bigint as worker_limit from p""",
@@ -139,6 +143,17 @@ ORACLE_SQL: dict[str, str] = {
         p as {permutation_sql("i", "(select c from nw)", 42, 0)} select i // 3 as rank, y as win, (i % 3)::int as replica from p""",
     "token_store": f"""with {_TOK}, third as (select n // 3 as third from tot), p as (select pos - third as pos, tok from flat, third where pos >= third and pos < 2 * third)
         select pos // 1000 as part, count(*) as n, sum(tok)::bigint as tok_sum, sum(tok * (pos % 1000))::bigint as place_sum from p group by 1""",
+    "arrivals_dedup": f"""with k as (select doc_id, (doc_id % 3)::int as arrival, {_NORM} as key from documents)
+        select doc_id, arrival, first_value(doc_id) over w as first_id, first_value(arrival) over w as first_arrival from k window w as (partition by key order by arrival, doc_id)""",
+    "corpus_files": rf"""with t as (select (doc_id % 2)::int as file_no, {_strip(r"regexp_replace(coalesce(text, ''), '\n[ \t]*\n+', chr(10), 'g')")} as t from documents)
+        select file_no, md5(t) as text_md5, count(*) as n from t where t <> '' group by all""",
+    "worker_files": "select doc_id, (doc_id % 30)::int as shard, (doc_id % 30 % 8)::int as worker from documents where doc_id % 30 >= 8",
+    "pulled_docs": f"""with {_MIX_BASE}, lim as (select source_id, (select count(*) // 4 from good) * p // 100 + 1 as most from (select distinct source_id, p from good))
+        select doc_id, source_id::int as source_id, k from good join lim using (source_id) where k < most""",
+    "decoded_docs": "select doc_id, md5(coalesce(text, '')) as text_md5 from documents",
+    "prepared_corpus": f"""with {_MIX_BASE}, mixdocs as (select doc_id, source_id, mix_pos, t as text from placed join judged using (doc_id) where mix_pos < {_TARGET}),
+        {_FLAGS.replace('from documents', 'from (select mix_pos as doc_id, text from mixdocs)')}
+        select m.source_id::int as source_id, m.doc_id as id, m.mix_pos, md5(m.text) as text_md5 from mixdocs m join flags f on f.doc_id = m.mix_pos where not exact_dup and not near_dup""",
     "byte_pair_frequency": f"""with w as (select unnest({_WORDS}) as word from documents), c as (select ' ' || word as word, count(*) as n from w group by 1),
         b as (select n, unnest(list_zip(range(1, len(x)), range(2, len(x) + 1))) as i, x from (select n, string_split_regex(rtrim(regexp_replace(hex(encode(word)), '(..)', '\\1 ', 'g')), ' ') as x from c)),
         v as (select list_concat(range(33, 127), range(161, 173), range(174, 256)) as v), t as (select list_concat(v, list_filter(range(256), lambda k: not list_contains(v, k))) as t, len(v) as m from v),
