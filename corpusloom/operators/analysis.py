@@ -48,17 +48,26 @@ def lr_schedule(spark: SparkSession, total: int, warmup: float, floor: float) ->
     return spark.range(total).select(F.col("id").alias("step"), F.round(m, 6).alias("mult"))
 
 
-def layer_placement(spark: SparkSession, old: int, new: int) -> DataFrame:
-    """Where each old layer goes among ``new`` ones, and the places that stay new: ``(layer, source)``, source -1 for new.
+def layer_placements(models: DataFrame) -> DataFrame:
+    """For models ``(model, old, new)``: where each old layer goes among the new ones, and the places that stay new, ``(model, layer, source)`` with source -1.
 
     Layers are spread evenly and pushed right where two would meet: i plus the
-    running maximum of round(i) - i.
+    running maximum of round(i) - i.  A model without old layers has new ones only;
+    one with fewer new than old layers is an error.
     """
-    i = spark.range(old).select(F.col("id").alias("source"))
-    want = F.bround(F.col("source") * (new - 1) / F.lit(max(1, old - 1))).cast("long")
-    push = F.max(want - F.col("source")).over(W.partitionBy().orderBy("source").rowsBetween(W.unboundedPreceding, 0))  # a row for each layer
-    placed = i.select((F.col("source") + push).alias("layer"), "source")
-    return spark.range(new).select(F.col("id").alias("layer")).join(placed, "layer", "left").select("layer", F.coalesce("source", F.lit(-1)).cast("long").alias("source"))
+    fits = F.assert_true(F.col("old") <= F.col("new"), F.lit("fewer new layers than old ones"))
+    m = models.select("model", F.col("old").cast("long").alias("old"), F.col("new").cast("long").alias("new")).filter(fits.isNull())
+    i = m.filter("old > 0").select("model", "old", "new", F.explode(F.sequence(F.lit(0).cast("long"), F.col("old") - 1)).alias("source"))
+    want = F.bround(F.col("source") * (F.col("new") - 1) / F.greatest(F.lit(1), F.col("old") - 1)).cast("long")
+    push = F.max(want - F.col("source")).over(W.partitionBy("model").orderBy("source").rowsBetween(W.unboundedPreceding, 0))  # a row for each layer of a model
+    placed = i.select("model", (F.col("source") + push).alias("layer"), "source")
+    every = m.filter("new > 0").select("model", F.explode(F.sequence(F.lit(0).cast("long"), F.col("new") - 1)).alias("layer"))
+    return every.join(placed, ["model", "layer"], "left").select("model", "layer", F.coalesce("source", F.lit(-1)).cast("long").alias("source"))
+
+
+def layer_placement(spark: SparkSession, old: int, new: int) -> DataFrame:
+    """``(layer, source)`` of one model."""
+    return layer_placements(spark.createDataFrame([(0, old, new)], "model int, old long, new long")).drop("model")
 
 
 def steps(batches: int, accumulate: int, epochs: int) -> tuple[int, int]:

@@ -200,21 +200,26 @@ def prepared_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.read(made["dedup"]).select("source_id", "id", "mix_pos", F.md5("text").alias("text_md5"))
 
 
-@query
-def source_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.sources_table(spark, mixing.plan(mixing.QUALITY_SOURCES, mixing.QUALITY_TARGET, 15))
+def _table_plan(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """A plan for the sources of the documents: each weighs what it has, its documents are its shards, and a half of all is the target."""
+    counted = table(spark, sf_dir, "documents").filter("source is not null").groupBy("source").count().orderBy("source").collect()  # a row for each source of a mix
+    listed = [mixing.Source(r["source"], "part", float(r["count"]), r["count"], 8, 6) for r in counted]
+    return mixing.plan(listed, sum(r["count"] for r in counted) // 2, 40)
 
 
 @query
-def shard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.shards_table(spark, mixing.plan(mixing.FRESH_SOURCES, mixing.DEFAULT_TARGET, 15))
+def source_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.sources_table(spark, _table_plan(spark, sf_dir))
 
 
 @query
-def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 30, and which of eight workers reads it from shard 8 on."""
-    d = corpus.shard(table(spark, sf_dir, "documents").select("doc_id"), 30)
-    return d.withColumn("worker", F.when(F.col("shard") >= 8, F.col("shard") % 8))
+def shard_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which worker of a source reads which of its shards, from the eighth on."""
+    plans = _table_plan(spark, sf_dir)
+    rows = [(p["source_id"], p["workers"], 8, max((s[-1] for s in p["shards"] if s), default=7)) for p in plans]
+    d = spark.createDataFrame(rows, "source_id int, workers int, first int, last int").filter("last >= first")
+    d = d.select("source_id", F.explode(F.sequence("first", "last")).alias("shard"), "workers", "first")
+    return d.select("source_id", F.pmod(F.col("shard") - F.col("first"), F.col("workers")).alias("worker"), "shard")
 
 
 @query
@@ -398,17 +403,23 @@ def vocab_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.lr_schedule(spark, 1000, 0.02, 0.1)
+    """Every step of three epochs over the documents' windows."""
+    n = tokens.window_count(tokens.total(_tokens(spark, sf_dir)), 64, 64)
+    return analysis.lr_schedule(spark, analysis.steps(-(-n // 8), 4, 3)[1], 0.02, 0.1)
 
 
 @query
 def layer_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.layer_placement(spark, 8, 12)
+    """A model of as many layers as each part has as its size, which grows by a half."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("old")).filter("old > 0").distinct()
+    return analysis.layer_placements(sizes.select(F.col("old").alias("model"), "old", (F.col("old") + F.floor((F.col("old") + 1) / 2)).alias("new")))
 
 
 @query
 def rope_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.rope_table(spark, 64, 32)
+    """Angles for every position of the longest document."""
+    longest = table(spark, sf_dir, "documents").agg(F.max(F.size(tx.words(tx.normalise(tx.text_or_empty(F.col("text")))))).alias("n")).first()["n"]
+    return analysis.rope_table(spark, longest or 0, 32)
 
 
 @query

@@ -89,6 +89,11 @@ def _soft(source: str, expr: str = "logit") -> str:
 
 _NUCLEUS = "np as (select *, coalesce(sum(p) over (partition by step_id order by p desc, token_id rows between unbounded preceding and 1 preceding), 0) as b from sm), kept as (select step_id, token_id, p / sum(p) over (partition by step_id) as p from np where b <= 0.9)"
 
+_PLAN = """
+c as (select source, count(*) as n from documents where source is not null group by source),
+s as (select (row_number() over (order by source) - 1)::int as source_id, source || '/part' as label, n::double as weight, n, sum(n) over () as total from c),
+p as (select *, greatest(1, round_even(weight / total * 100, 0))::int as quota, greatest(1, floor((total // 2) * weight / total))::bigint as target, greatest(1, least(round_even(40 * weight / total, 0)::int, 6))::int as workers from s)"""
+
 ORACLE_SQL: dict[str, str] = {
     "quality_report": f"with {_judged()} select source, count(*) filter (reason is null) as written, count(*) filter (reason is not null) as rejected, round(count(*) filter (reason is not null) / greatest(1, count(*)) * 100, 6) as rejected_pct from judged group by source",
     "quality_pass_docs": f"with {_judged()} select doc_id, md5(t) as text_md5 from judged where reason is null",
@@ -114,12 +119,8 @@ ORACLE_SQL: dict[str, str] = {
         select r.source_id::int as source_id, count(*) filter (reason is null and before < taken) as written, count(*) filter (reason is not null and (dry or before < taken)) as rejected, bool_and(dry) as dry
         from ranked r join dry using (source_id) group by r.source_id""",
     "worker_limited_docs": f"with {_MIX_BASE}, w as (select doc_id, (doc_id % 8)::int as worker, row_number() over (partition by doc_id % 8 order by doc_id) - 1 as k from good) select * from w where k < {_TARGET} // 8 + 1",
-    "source_plan": """with s as (select * from (values (0, 'turkish-nlp-suite/BellaTurca/OzenliDerlem', 0.325::double, 6), (1, 'turkish-nlp-suite/BellaTurca/AkademikDerlem', 0.157::double, 4), (2, 'turkish-nlp-suite/BellaTurca/temiz-OSCAR', 0.518::double, 4)) as v(source_id, label, weight, ust)),
-        p as (select *, greatest(1, round_even(weight / (select sum(weight) from s) * 100, 0))::int as quota, greatest(1, floor(4267823 * weight / (select sum(weight) from s)))::bigint as target, greatest(1, least(round_even(15 * weight / (select sum(weight) from s), 0)::int, ust)) as workers from s)
-        select source_id, label, weight, quota, target, workers::int as workers, (target // workers + 1)::bigint as worker_limit from p""",
-    "shard_lists": """with s as (select * from (values (0, 1024, 128, 12), (1, 30, 8, 3)) as v(source_id, n, ofs, workers)),
-        w as (select source_id, n, ofs, workers, j from s, range(12) as g(j) where j < workers)
-        select source_id, j::int as worker, sh::int as shard from w, range(1024) as h(sh) where sh >= ofs + j and sh < n and (sh - ofs - j) % workers = 0""",
+    "source_plan": f"""with {_PLAN} select source_id, label, weight, quota, target, workers, (target // workers + 1)::bigint as worker_limit from p""",
+    "shard_lists": f"""with {_PLAN}, l as (select source_id, workers, unnest(range(8, n)) as shard from p) select source_id, ((shard - 8) % workers)::int as worker, shard::int as shard from l""",
     "shard_assignment": "select doc_id, (doc_id % 30)::int as shard, case when doc_id % 30 >= 8 then (doc_id % 30 % 8)::int end as worker from documents",
     "prefix_sample": "with b as (select doc_id, strlen(coalesce(text, '')) as bytes, coalesce(sum(strlen(coalesce(text, '')) + 2) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents) select doc_id, bytes, start from b where start + bytes + 2 <= 1000000",
     "word_frequency": f"with w as (select unnest({_WORDS}) as word from documents) select word, count(*) as n from w group by word having count(*) >= 2",
@@ -160,9 +161,13 @@ ORACLE_SQL: dict[str, str] = {
         s as (select list_transform(range(256), lambda k: case when list_position(t, k) <= m then chr(k::int) else chr((255 + list_position(t, k) - m)::int) end) as s from t),
         p as (select n, s[('0x' || x[i[1]])::int + 1] || s[('0x' || x[i[2]])::int + 1] as pair from b, s)
         select pair, sum(n)::bigint as n from p group by pair having sum(n) >= 2""",
-    "lr_schedule": "select s as step, round(case when s < 20 then (s + 1) / 20 else 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s - 20) / 980))) end, 6) as mult from range(1000) as r(s)",
-    "layer_placement": "with i as (select s, round_even(s * 11 / 7, 0)::bigint as want from range(8) as r(s)), p as (select s, s + max(want - s) over (order by s) as layer from i) select l as layer, coalesce(s, -1) as source from range(12) as g(l) left join p on p.layer = l",
-    "rope_table": "select pos, i, round(cos(pos * power(10000.0::double, -(i * 2.0) / 32)), 6) as cos, round(sin(pos * power(10000.0::double, -(i * 2.0) / 32)), 6) as sin from range(64) as a(pos), range(16) as b(i)",
+    "lr_schedule": f"""with {_TOK}, nw as (select (n - 65) // 64 + 1 as c from tot), st as (select (3 * ceil(ceil(c / 8) / 4))::bigint as total from nw), w as (select total, greatest(1, floor(0.02 * total))::bigint as warm from st),
+        s as (select unnest(range(total)) as s, total, warm from w)
+        select s as step, round(case when s < warm then (s + 1) / warm else 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s - warm) / greatest(1, total - warm)))) end, 6) as mult from s""",
+    "layer_placement": """with m as (select distinct p_size::bigint as old from part where p_size > 0), n as (select old as model, old, old + (old + 1) // 2 as "new" from m), i as (select model, old, "new", unnest(range(old)) as s from n),
+        want as (select model, s, round_even(s * ("new" - 1) / greatest(1, old - 1), 0)::bigint as want from i), p as (select model, s, s + max(want - s) over (partition by model order by s) as layer from want),
+        every as (select model, unnest(range("new")) as layer from n) select model, layer, coalesce(s, -1) as source from every left join p using (model, layer)""",
+    "rope_table": f"with n as (select max(len({_WORDS})) as n from documents), a as (select unnest(range(n)) as pos from n) select pos, i, round(cos(pos * power(10000.0::double, -(i * 2.0) / 32)), 6) as cos, round(sin(pos * power(10000.0::double, -(i * 2.0) / 32)), 6) as sin from a, range(16) as b(i)",
     "running_best": "with e as (select event_id % 50 as step, round(avg(value), 6) as loss from events group by 1) select step, loss, coalesce(loss < min(loss) over (order by step rows between unbounded preceding and 1 preceding), true) as improved, min(loss) over (order by step) as best from e",
     "rep_penalty": f"with {_LOGITS}, {_PENAL} select step_id, token_id, round(logit / 0.8::double, 6) as logit from pen",
     "top_k_ties": f"with {_LOGITS}, r as (select step_id, token_id, round(logit, 1) as logit from logits), k as (select *, rank() over (partition by step_id order by logit desc) as rk from r) select step_id, token_id, logit from k where rk <= 5",
