@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -17,6 +17,8 @@ PIVOTS = 2
 ROUNDS = 4
 #: Members of a block, of which two at a time are compared in full.
 BLOCK = 256
+#: Runs that more sets than these hold are frequent.
+RARE = 32
 
 
 def shared_buckets(keyed: DataFrame, stages: Stages) -> DataFrame:
@@ -46,7 +48,61 @@ def cells_of(mixed: DataFrame) -> DataFrame:
     return m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"), "vertex", "component")
 
 
-def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], stages: Stages) -> DataFrame:
+def links_apart(m: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], threshold: float, stages: Stages) -> DataFrame:
+    """Verified links that connect all similar vertices of large buckets ``(bucket, vertex, component)``, across components.
+
+    ``sets_of`` gives ``(vertex, tokens)``, whose Jaccard similarity decides.  Of two
+    sets that are similar, either
+
+    * a token in common is rare (in at most ``RARE`` sets).  Then the rarest tokens
+      of both, as many as a similar set may lack and one more, share a rare one: a
+      join on these, within the bounds on sizes, finds the pair;
+    * or all that they share is frequent.  Then whatever has the same frequent tokens
+      and as many of all is as similar: sets are put into classes by these two, one of
+      a class stands for it, and members are linked to it, or, if the class's
+      frequent tokens do not make its own members similar, to the one that stands for
+      a class that it is similar to.
+
+    So lines of a template meet those that share a part which is not the template's,
+    and templates meet as classes, not as pairs of all their lines.
+    """
+    u = m.select("vertex", "component").distinct()
+    sets = stages.write(sets_of(u))
+    tokens = sets.select("vertex", F.explode("tokens").alias("token"))
+    freq = stages.write(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    ranked = tokens.join(freq, "token", "left").groupBy("vertex").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("t"))  # a set's own tokens
+    least = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
+    seen = ranked.join(u, "vertex").withColumn("size", F.size("t"))
+    seen = stages.write(seen.select("vertex", "component", "size",
+        F.transform(F.filter(F.slice("t", F.lit(1), (F.col("size") - least + 1).cast("int")), lambda x: (x["n"] > 1) & (x["n"] <= RARE)), lambda x: x["token"]).alias("rare"),
+        F.array_sort(F.transform(F.filter("t", lambda x: x["n"] > RARE), lambda x: x["token"])).alias("often")))
+    fits = F.col("size_a") >= F.lit(threshold) * F.col("size_b") - 1e-9
+    occ = seen.select("vertex", "component", "size", F.explode("rare").alias("token"))
+    a, b = (occ.select("token", F.col("vertex").alias(v), F.col("component").alias(f"c_{v}"), F.col("size").alias(f"size_{v}")) for v in "ab")
+    rare = a.join(b, "token").filter("a > b and c_a <> c_b").filter(fits & (F.col("size_b") >= F.lit(threshold) * F.col("size_a") - 1e-9)).select("a", "b").distinct()  # at most RARE a token
+
+    name = F.md5(F.array_join(F.transform("often", lambda x: x.cast("string")), ","))
+    some = seen.filter(F.size("often") >= least).withColumn("name", name)
+    classes = some.groupBy("name", "size").agg(F.min("vertex").alias("rep"), F.any_value("often").alias("often"))
+    classes = stages.write(classes)
+    reps = classes.select(F.col("rep").alias("vertex"))
+    met = alike(cells_of(stages.write(m.join(reps, "vertex", "left_semi"))))
+    met = stages.write(links_of(stages.write(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())))
+
+    def similar(common: Column, size_a: Column, size_b: Column) -> Column:
+        return common >= F.lit(threshold) * (size_a + size_b - common) - 1e-9
+
+    both = met.union(met.select("b", "a"))
+    x, y = (classes.select(F.col("rep").alias(v), F.col("often").alias(f"o_{v}"), F.col("size").alias(f"s_{v}")) for v in "ab")
+    near = both.join(x, "a").join(y, "b").filter(similar(F.size(F.array_intersect("o_a", "o_b")), F.col("s_a"), F.col("s_b")))
+    near = near.groupBy("a").agg(F.min("b").alias("b"))
+    own = similar(F.size("often"), F.col("size"), F.col("size"))
+    to = classes.join(near, F.col("rep") == F.col("a"), "left").select("name", "size", "rep", F.when(own, F.col("rep")).otherwise(F.col("b")).alias("to")).filter("to is not null")
+    held = some.join(stages.write(to), ["name", "size"]).filter("vertex <> to").select(F.greatest("vertex", "to").alias("a"), F.least("vertex", "to").alias("b"))
+    return stages.write(met.union(links_of(stages.write(rare.union(held).distinct()))))
+
+
+def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, stages: Stages) -> DataFrame:
     """Components ``(id, component)`` of the verified links within buckets.
 
     ``links_of`` verifies a table of pairs ``(a, b)``.  First each vertex is paired
@@ -92,7 +148,6 @@ def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]
     m = stages.write(m.join(mixed, "bucket"))
     if not m.limit(1).count():
         return labels
-    pairs = stages.write(alike(cells_of(m)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    more = links_of(pairs)
-    stages.drop(m, pairs)
+    more = links_apart(m, sets_of, links_of, alike, threshold, stages)
+    stages.drop(m)
     return stages.write(connected_components(links.union(more), stages))

@@ -113,6 +113,21 @@ def _verified(threshold: float, counted: bool):
     return run
 
 
+def _tokens(counted: bool):
+    """Sets as lists of numbers; with ``counted``, the i-th of a shingle's occurrences is a token of its own, which makes the weighted similarity that of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            if counted:
+                counts = [np.frombuffer(x, np.int32) for x in b.column(2).to_pylist()]
+                nth = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts]
+                items = [mix64(np.repeat(x, c) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x, c, n in zip(items, counts, nth, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], ["vertex", "tokens"])
+
+    return run
+
+
 def _two(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
     for side in ("b", "a"):
         pairs = pairs.join(of.select(F.col("vertex").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
@@ -138,7 +153,8 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
        components.
     4. Buckets that still hold several components: small ones are compared in full
        across components; members of large ones with pivots of other components,
-       anew until a round brings no link, then in full too (see ``buckets``).
+       anew until a round brings no link, then by the shingles that they share (see
+       ``buckets``).
 
     Vertex names have 64 bits (a false merge has a chance of n^2 / 2^65).
     Null and empty texts (no words) are in no class but their own, null ids are
@@ -152,23 +168,29 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
     first_ids = stages.write(rows.filter("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id")))
     least = threshold - 0.16
 
+    def whole_sets(needed: DataFrame) -> DataFrame:
+        ids = first_ids.join(needed, "vertex", "left_semi").select("id")
+        n_blocks = bloom.n_blocks_for(needed.count())
+        some = bloom.probe(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", bloom.build(ids, "id", n_blocks), n_blocks, "maybe").filter("maybe")
+        return stages.write(some.select("text").mapInArrow(_set_bytes(shingle), "vertex long, items binary, counts binary").join(needed, "vertex", "left_semi").dropDuplicates(["vertex"]), batch_rows=1000)
+
     def links_of(pairs: DataFrame) -> DataFrame:
         likely = _two(pairs.distinct(), sketches, ["sig"]).mapInArrow(_promising(least), "a long, b long")
         likely = stages.write(likely, batch_rows=4000)
         needed = stages.write(likely.select(F.col("a").alias("vertex")).union(likely.select("b")).distinct())
-        ids = first_ids.join(needed, "vertex", "left_semi").select("id")
-        n_blocks = bloom.n_blocks_for(needed.count())
-        some = bloom.probe(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", bloom.build(ids, "id", n_blocks), n_blocks, "maybe").filter("maybe")
-        sets = some.select("text").mapInArrow(_set_bytes(shingle), "vertex long, items binary, counts binary").join(needed, "vertex", "left_semi").dropDuplicates(["vertex"])
-        sets = stages.write(sets, batch_rows=1000)
+        sets = whole_sets(needed)
         links = stages.write(_two(likely, sets, ["items", "counts"]).mapInArrow(_verified(threshold, counted), "a long, b long"), batch_rows=500)
         stages.drop(likely, needed, sets)
         return links
 
+    def sets_of(vertices: DataFrame) -> DataFrame:
+        sets = whole_sets(stages.write(vertices.select("vertex").distinct()))
+        return stages.write(sets.mapInArrow(_tokens(counted), "vertex long, tokens array<bigint>"), batch_rows=500)
+
     def alike(cells: DataFrame) -> DataFrame:
         return cells.join(sketches.select("vertex", "sig"), "vertex").groupBy("bucket", "i", "j").applyInPandas(_alike(least), "a long, b long")
 
-    labels = components_of(members, links_of, alike, stages)
+    labels = components_of(members, links_of, alike, sets_of, threshold, stages)
     with_class = rows.drop("bands", "sig").join(labels.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     # a row without words has a class of its own: the name of its row, apart from all vertices (which are odd)
     with_class = stages.write(with_class.withColumn("component", F.coalesce("component", "vertex", F.col("uid") * 2)))
