@@ -235,6 +235,25 @@ def test_mixing(spark, seed):
     assert copies == {r["doc_id"]: r["repeats"] for r in got if r["repeats"]}
 
 
+@pytest.mark.parametrize("copies", [1, 2, 100, 333])
+def test_mixing_of_repeated_rows(spark, copies):
+    """Equal rows are documents of their own: the mix ends within a group of them, or its last document is one of them."""
+    rows = [(7, "a", "w " * 10)] * copies + [(8, "a", "w " * 13)] * copies + [(i, "b", "w " * (i % 40)) for i in range(10, 200)] + [(9, "b", "w " * 3)] * copies
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.mix(d, stages(spark)).collect()
+    assert len(got) == len(rows)
+    for s, most in (("a", 13), ("b", 39)):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < most and all(r["taken"] <= 2 * r["size"] for r in mine)
+    again = mixing.mix(d.repartition(3), stages(spark)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+    made = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(d, stages(spark)).collect())
+    want = collections.Counter()
+    for r in got:
+        want[r["doc_id"]] += r["repeats"]
+    assert made == +want
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(edge_docs(spark), stages(spark)).count() == 9
     assert mixing.mix(edge_docs(spark).limit(0), stages(spark)).count() == 0
