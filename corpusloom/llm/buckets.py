@@ -17,8 +17,10 @@ PIVOTS = 2
 ROUNDS = 4
 #: Members of a block, of which two at a time are compared in full.
 BLOCK = 256
-#: Runs that more sets than these hold are frequent.
+#: Tokens that more sets than these hold are frequent.
 RARE = 32
+#: Numbers of tokens that are broadcast, 16 bytes each; more are joined by a shuffle.
+BROADCAST = 500_000
 
 
 def shared_buckets(keyed: DataFrame, stages: Stages) -> DataFrame:
@@ -66,16 +68,19 @@ def links_apart(m: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links_o
     So lines of a template meet those that share a part which is not the template's,
     and templates meet as classes, not as pairs of all their lines.
     """
-    u = m.select("vertex", "component").distinct()
+    u = stages.write(m.select("vertex", "component").distinct())
     sets = stages.write(sets_of(u))
-    tokens = sets.select("vertex", F.explode("tokens").alias("token"))
-    freq = stages.write(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
-    ranked = tokens.join(freq, "token", "left").groupBy("vertex").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("t"))  # a set's own tokens
+    freq = stages.write(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"))
+    few = freq.count() <= BROADCAST
+    # dealt by vertex once: what follows explodes and gathers a set's tokens where it stands, unless their numbers are too many to broadcast
+    own = sets.join(u, "vertex").withColumn("size", F.size("tokens")).repartition("vertex").select("vertex", "component", "size", F.explode("tokens").alias("token"))
+    own = own.join(F.broadcast(freq) if few else freq, "token", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    ranked = own.groupBy("vertex").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.count_if(F.col("n") == 1).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", "token")))).alias("t"))  # a set's own tokens
     least = F.ceil(F.lit(threshold) * F.col("size") - 1e-9)
-    seen = ranked.join(u, "vertex").withColumn("size", F.size("t"))
-    seen = stages.write(seen.select("vertex", "component", "size",
-        F.transform(F.filter(F.slice("t", F.lit(1), (F.col("size") - least + 1).cast("int")), lambda x: (x["n"] > 1) & (x["n"] <= RARE)), lambda x: x["token"]).alias("rare"),
-        F.array_sort(F.transform(F.filter("t", lambda x: x["n"] > RARE), lambda x: x["token"])).alias("often")))
+    room = (F.col("size") - least + 1 - F.col("alone")).cast("int")  # tokens that no other set has come first in the order
+    rare = F.transform(F.filter(F.slice("t", F.lit(1), F.greatest(room, F.lit(0))), lambda x: x["n"] <= RARE), lambda x: x["token"])
+    seen = stages.write(ranked.select("vertex", "component", "size", rare.alias("rare"), F.array_sort(F.transform(F.filter("t", lambda x: x["n"] > RARE), lambda x: x["token"])).alias("often")))
+    stages.drop(sets, freq, u)
     fits = F.col("size_a") >= F.lit(threshold) * F.col("size_b") - 1e-9
     occ = seen.select("vertex", "component", "size", F.explode("rare").alias("token"))
     a, b = (occ.select("token", F.col("vertex").alias(v), F.col("component").alias(f"c_{v}"), F.col("size").alias(f"size_{v}")) for v in "ab")
@@ -99,7 +104,9 @@ def links_apart(m: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links_o
     own = similar(F.size("often"), F.col("size"), F.col("size"))
     to = classes.join(near, F.col("rep") == F.col("a"), "left").select("name", "size", "rep", F.when(own, F.col("rep")).otherwise(F.col("b")).alias("to")).filter("to is not null")
     held = some.join(stages.write(to), ["name", "size"]).filter("vertex <> to").select(F.greatest("vertex", "to").alias("a"), F.least("vertex", "to").alias("b"))
-    return stages.write(met.union(links_of(stages.write(rare.union(held).distinct()))))
+    out = stages.write(met.union(links_of(stages.write(rare.union(held).distinct()))))
+    stages.drop(seen, classes)
+    return out
 
 
 def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, stages: Stages) -> DataFrame:
@@ -143,11 +150,16 @@ def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]
             break
         links = stages.write(links.union(more))
         labels = stages.write(connected_components(links, stages))
-    m = members.filter(F.col("n") > SMALL_BUCKET).join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select("bucket", "vertex", F.coalesce("component", "vertex").alias("component"))
+    m = members.filter(F.col("n") > SMALL_BUCKET).join(labels.withColumnRenamed("id", "vertex"), "vertex", "left").select("bucket", "vertex", "n", F.coalesce("component", "vertex").alias("component"))
     mixed = m.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     m = stages.write(m.join(mixed, "bucket"))
     if not m.limit(1).count():
         return labels
-    more = links_apart(m, sets_of, links_of, alike, threshold, stages)
-    stages.drop(m)
-    return stages.write(connected_components(links.union(more), stages))
+    # a bucket that is one block is compared in full, larger ones by what their sets share
+    one, large = m.filter(F.col("n") <= BLOCK), stages.write(m.filter(F.col("n") > BLOCK))
+    pairs = stages.write(alike(cells_of(one)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = links.union(links_of(pairs))
+    if large.limit(1).count():
+        links = links.union(links_apart(large, sets_of, links_of, alike, threshold, stages))
+    stages.drop(m, pairs, large)
+    return stages.write(connected_components(links, stages))
