@@ -240,7 +240,7 @@ def worker_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [int(f.path.split("part=")[1][:2]) for f in files.list_files(spark, root)]
     for worker in range(8):
         mine = [i for i, shard in enumerate(names) if shard >= 8 and shard % 8 == worker]
-        rows = files.read_shards(spark, root, len(names), mine).select("doc_id", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("shard") + 1).alias("shard"), F.lit(worker).alias("worker"))
+        rows = files.read_shards(spark, root, len(names), mine, schema="doc_id long").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("shard") + 1).alias("shard"), F.lit(worker).alias("worker"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
