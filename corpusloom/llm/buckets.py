@@ -109,7 +109,7 @@ def links_apart(m: DataFrame, sets_of: Callable[[DataFrame], DataFrame], links_o
     return out
 
 
-def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, stages: Stages) -> DataFrame:
+def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame], alike: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], threshold: float, stages: Stages, full: int = 0) -> DataFrame:
     """Components ``(id, component)`` of the verified links within buckets.
 
     ``links_of`` verifies a table of pairs ``(a, b)``.  First each vertex is paired
@@ -155,11 +155,13 @@ def components_of(members: DataFrame, links_of: Callable[[DataFrame], DataFrame]
     m = stages.write(m.join(mixed, "bucket"))
     if not m.limit(1).count():
         return labels
-    # a bucket that is one block is compared in full, larger ones by what their sets share
-    one, large = m.filter(F.col("n") <= BLOCK), stages.write(m.filter(F.col("n") > BLOCK))
-    pairs = stages.write(alike(cells_of(one)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = links.union(links_of(pairs))
+    large = m
+    if full:
+        large = stages.write(m.filter(F.col("n") > full))
+        pairs = stages.write(alike(cells_of(m.filter(F.col("n") <= full))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        links = links.union(links_of(pairs))
+        stages.drop(m, pairs)
     if large.limit(1).count():
         links = links.union(links_apart(large, sets_of, links_of, alike, threshold, stages))
-    stages.drop(m, pairs, large)
+    stages.drop(large)
     return stages.write(connected_components(links, stages))

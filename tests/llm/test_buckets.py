@@ -70,6 +70,5 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch, seed, rare, thresh
     assert [found.get(i, i) for i in range(len(sets))] == components(sets, threshold)
     assert sum(compared) < len(sets) * (len(sets) - 1) / 2
     monkeypatch.setattr(buckets, "BROADCAST", 0)
-    monkeypatch.setattr(buckets, "BLOCK", 1000)  # the bucket as one block
-    again = {r["id"]: r["component"] for r in buckets.components_of(members, links_of, alike, lambda v: table.join(v.select("vertex"), "vertex", "left_semi"), threshold, stages).collect()}
+    again = {r["id"]: r["component"] for r in buckets.components_of(members, links_of, alike, lambda v: table.join(v.select("vertex"), "vertex", "left_semi"), threshold, stages, full=(0, 1000)[seed % 2]).collect()}
     assert again == found
