@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .buckets import components_of, shared_buckets
+from .buckets import cells_of, components_of, shared_buckets
 from .dartminhash import band_keys, signatures
 from .stages import Stages
 from .wordhash import distinct_per_text, mix64, shingle_hashes, word_hashes
 
+#: Members of a block of a large bucket, and bytes of their sets: two blocks are one task's group.
+CELL = 1024
+CELL_BYTES = 1 << 24
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,23 +82,6 @@ def _promising(least: float):
     return run
 
 
-def _alike(least: float):
-    """Pairs across components in a cell of two blocks, by what ``_promising`` asks for."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
-        number, component = pdf.vertex.to_numpy(), pdf.component.to_numpy()
-        a, b = np.flatnonzero(pdf.left.to_numpy()), np.flatnonzero(pdf.right.to_numpy())
-        same = np.zeros((len(a), len(b)), np.int32)
-        for column in range(sig.shape[1]):
-            same += sig[a, column][:, None] == sig[b, column][None]
-        agree = (same / sig.shape[1] - 1 / 256) / (1 - 1 / 256)
-        i, j = np.nonzero((agree >= least) & (component[a][:, None] != component[b][None]))
-        return pd.DataFrame({"a": number[a[i]], "b": number[b[j]]})
-
-    return run
-
-
 def jaccard(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, counted: bool) -> float:
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not counted:
@@ -113,17 +99,45 @@ def _verified(threshold: float, counted: bool):
     return run
 
 
-def _tokens(counted: bool):
-    """Sets as lists of numbers; with ``counted``, the i-th of a shingle's occurrences is a token of its own, which makes the weighted similarity that of sets."""
+def _linked(least: float, threshold: float, counted: bool):
+    """Verified links in a cell of two blocks, as many as connect what is linked there: a forest over components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            if counted:
-                counts = [np.frombuffer(x, np.int32) for x in b.column(2).to_pylist()]
-                nth = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts]
-                items = [mix64(np.repeat(x, c) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x, c, n in zip(items, counts, nth, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], ["vertex", "tokens"])
+    Pairs whose signatures agree as ``_promising`` asks for are compared on their
+    whole sets where they stand, row by row of the left block, so that a cell's rows
+    out are fewer than its members, however many of its pairs come near.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
+        number, (_, own) = pdf.vertex.to_numpy(), np.unique(pdf.component.to_numpy(), return_inverse=True)
+        left, right = np.flatnonzero(pdf.left.to_numpy()), np.flatnonzero(pdf.right.to_numpy())
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        weight = np.frombuffer(b"".join(pdf["counts"]), np.int32).astype(np.int64) if counted else np.ones(bounds[-1], np.int64)
+        sizes = np.add.reduceat(weight, bounds[:-1])  # no set is empty
+        names, number_of = np.unique(np.concatenate(sets), return_inverse=True)
+        top, held = own.copy(), np.zeros(len(names), np.int64)  # the component of each member; the left set, by numbers
+        columns, once = np.ascontiguousarray(sig[right].T), len(left) == len(right) == len(pdf)  # in a block with itself a pair is met twice
+        out = []
+        for a in left:
+            same = np.zeros(len(right), np.int32)
+            for x, column in zip(sig[a], columns, strict=True):
+                same += column == x
+            near = right[((same / len(columns) - 1 / 256) / (1 - 1 / 256) >= least) & (top[right] != top[a]) & ((right > a) | (not once))]
+            if not len(near):
+                continue
+            mine = slice(bounds[a], bounds[a + 1])
+            held[number_of[mine]] = weight[mine]
+            for b in near:
+                if top[b] == top[a]:
+                    continue  # by a link of before
+                theirs = slice(bounds[b], bounds[b + 1])
+                common = np.minimum(held[number_of[theirs]], weight[theirs]).sum()
+                if common / (sizes[a] + sizes[b] - common) >= threshold:
+                    top[top == top[b]] = top[a]
+                    out.append((number[a], number[b]))
+            held[number_of[mine]] = 0
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -153,8 +167,8 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
        components.
     4. Buckets that still hold several components: small ones are compared in full
        across components; members of large ones with pivots of other components,
-       anew until a round brings no link, then by the shingles that they share (see
-       ``buckets``).
+       anew until a round brings no link, then block by block on their whole sets,
+       where no pair becomes a row but the links that connect (see ``_linked``).
 
     Vertex names have 64 bits (a false merge has a chance of n^2 / 2^65).
     Null and empty texts (no words) are in no class but their own, null ids are
@@ -183,14 +197,17 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
         stages.drop(likely, needed, sets)
         return links
 
-    def sets_of(vertices: DataFrame) -> DataFrame:
-        sets = whole_sets(stages.write(vertices.select("vertex").distinct()))
-        return stages.write(sets.mapInArrow(_tokens(counted), "vertex long, tokens array<bigint>"), batch_rows=500)
-
-    def alike(cells: DataFrame) -> DataFrame:
-        return cells.join(sketches.select("vertex", "sig"), "vertex").groupBy("bucket", "i", "j").applyInPandas(_alike(least), "a long, b long")
+    def linked(large: DataFrame) -> DataFrame:
+        needed = stages.write(large.select("vertex").distinct())
+        sets = whole_sets(needed)
+        full = stages.write(sketches.select("vertex", "sig").join(sets if counted else sets.drop("counts"), "vertex"))
+        size = F.octet_length("items") + k
+        cells = cells_of(large.join(full.select("vertex", size.alias("size")), "vertex"), CELL, CELL_BYTES).join(full, "vertex")
+        links = stages.write(cells.groupBy("bucket", "i", "j").applyInPandas(_linked(least, threshold, counted), "a long, b long"))
+        stages.drop(needed, sets, full)
+        return links
 
-    labels = components_of(members, links_of, alike, sets_of, threshold, stages)
+    labels = components_of(members, links_of, None, None, threshold, stages, linked=linked)
     with_class = rows.drop("bands", "sig").join(labels.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     # a row without words has a class of its own: the name of its row, apart from all vertices (which are odd)
     with_class = stages.write(with_class.withColumn("component", F.coalesce("component", "vertex", F.col("uid") * 2)))
