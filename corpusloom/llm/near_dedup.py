@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .buckets import components_of, shared_buckets
+from .buckets import cells_of, components_of, shared_buckets
 from .dartminhash import band_keys, signatures
 from .stages import Stages
 from .wordhash import distinct_per_text, mix64, shingle_hashes, word_hashes
 
+#: Members of a block of a large bucket, and bytes of their sets: two blocks are one task's group.
+CELL = 1024
+CELL_BYTES = 1 << 24
+#: Tokens of up to so many sets of a cell add to pairs, others are columns of a matrix, so many at a time.
+FEW = 8
+WIDTH = 2048
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -79,23 +85,6 @@ def _promising(least: float):
     return run
 
 
-def _alike(least: float):
-    """Pairs across components in a cell of two blocks, by what ``_promising`` asks for."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint8).reshape(len(pdf), -1)
-        number, component = pdf.vertex.to_numpy(), pdf.component.to_numpy()
-        a, b = np.flatnonzero(pdf.left.to_numpy()), np.flatnonzero(pdf.right.to_numpy())
-        same = np.zeros((len(a), len(b)), np.int32)
-        for column in range(sig.shape[1]):
-            same += sig[a, column][:, None] == sig[b, column][None]
-        agree = (same / sig.shape[1] - 1 / 256) / (1 - 1 / 256)
-        i, j = np.nonzero((agree >= least) & (component[a][:, None] != component[b][None]))
-        return pd.DataFrame({"a": number[a[i]], "b": number[b[j]]})
-
-    return run
-
-
 def jaccard(x: np.ndarray, cx: np.ndarray, y: np.ndarray, cy: np.ndarray, counted: bool) -> float:
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not counted:
@@ -113,17 +102,85 @@ def _verified(threshold: float, counted: bool):
     return run
 
 
-def _tokens(counted: bool):
-    """Sets as lists of numbers; with ``counted``, the i-th of a shingle's occurrences is a token of its own, which makes the weighted similarity that of sets."""
+def _common(sets: list[np.ndarray], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sizes of intersections, a matrix of which the ``parts`` (rows, columns) are filled in.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            items = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            if counted:
-                counts = [np.frombuffer(x, np.int32) for x in b.column(2).to_pylist()]
+    A token of few sets adds to each pair of these, others are columns of a matrix
+    of zeros and ones, whose product with itself counts them, ``WIDTH`` at a time.
+    """
+    n = len(sets)
+    _, at, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, h = np.repeat(np.arange(n), [len(s) for s in sets]), holders[at]
+    order = np.lexsort((at, h))
+    row, at, h = row[order], at[order], h[order]
+    out = np.zeros((n, n), np.float32)
+    for k in range(2, FEW + 1):  # tokens of k sets stand k by k
+        held = row[slice(*np.searchsorted(h, [k, k + 1]))].reshape(-1, k)
+        for x in range(k):
+            for y in range(k):
+                if x != y:
+                    np.add.at(out.reshape(-1), held[:, x] * n + held[:, y], np.float32(1))
+    many = h > FEW
+    row, number = row[many], np.cumsum(np.diff(at[many], prepend=-1) != 0) - 1
+    ends = np.searchsorted(number, np.arange(0, (number[-1] if len(number) else -1) + WIDTH + 1, WIDTH))
+    for first, last in zip(ends[:-1], ends[1:], strict=True):
+        x = np.zeros((n, WIDTH), np.float32)
+        x[row[first:last], number[first:last] % WIDTH] = 1
+        for a, b in parts:
+            out[np.ix_(a, b)] += x[a] @ x[b].T
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> list[int]:
+    """Numbers of the links ``(a, b)`` that connect the components ``own`` as all links do: fewer than components."""
+    own, kept, left = own.copy(), [], np.arange(len(a))
+    top = list(range(own.max() + 1))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    while len(left := left[own[a[left]] != own[b[left]]]):
+        # a link of every component at once
+        for k in np.unique(np.unique(np.concatenate([own[a[left]], own[b[left]]]), return_index=True)[1] % len(left)):
+            x, y = find(own[a[left[k]]]), find(own[b[left[k]]])
+            if x != y:
+                top[x] = y
+                kept.append(int(left[k]))
+        own = np.array([find(x) for x in range(len(top))])[own]
+    return kept
+
+
+def _linked(threshold: float, counted: bool):
+    """Verified links in a cell of two blocks, as many as connect what is linked there: a forest over components.
+
+    All pairs across components are compared on their whole sets, in matrices: none
+    of them is a row, however many come near.  Members of the cell's largest
+    component are compared with the others only.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, (_, own) = pdf.vertex.to_numpy(), np.unique(pdf.component.to_numpy(), return_inverse=True)
+        left, right, rest = pdf.left.to_numpy(), pdf.right.to_numpy(), own != np.bincount(own).argmax()
+        sides = [(rest, right)] if left.all() and right.all() else [(left & rest, right), (left & ~rest, right & rest)]
+        parts = [(x, y) for x, y in ((np.flatnonzero(x), np.flatnonzero(y)) for x, y in sides) if len(x) and len(y)]
+        links = []
+        if parts:
+            sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+            if counted:  # the i-th of a shingle's occurrences is a token of its own, which makes the weighted similarity that of sets
+                counts = [np.frombuffer(x, np.int32) for x in pdf["counts"]]
                 nth = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for c in counts]
-                items = [mix64(np.repeat(x, c) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x, c, n in zip(items, counts, nth, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], ["vertex", "tokens"])
+                sets = [mix64(np.repeat(x, c) + i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x, c, i in zip(sets, counts, nth, strict=True)]
+            size = np.array([len(x) for x in sets], np.float64)
+            common = _common(sets, parts)
+            for x, y in parts:
+                c = common[np.ix_(x, y)].astype(np.float64)
+                i, j = np.nonzero((c / (size[x][:, None] + size[y] - c) >= threshold) & (own[x][:, None] != own[y]))
+                links.append(np.stack([x[i], y[j]]))
+        a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+        kept = _forest(a, b, own)
+        return pd.DataFrame({"a": number[a[kept]], "b": number[b[kept]]}, dtype=np.int64)
 
     return run
 
@@ -153,8 +210,8 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
        components.
     4. Buckets that still hold several components: small ones are compared in full
        across components; members of large ones with pivots of other components,
-       anew until a round brings no link, then by the shingles that they share (see
-       ``buckets``).
+       anew until a round brings no link, then block by block on their whole sets,
+       where no pair becomes a row but the links that connect (see ``_linked``).
 
     Vertex names have 64 bits (a false merge has a chance of n^2 / 2^65).
     Null and empty texts (no words) are in no class but their own, null ids are
@@ -183,14 +240,17 @@ def near_duplicates(docs: DataFrame, stages: Stages, id_col: str = "doc_id", tex
         stages.drop(likely, needed, sets)
         return links
 
-    def sets_of(vertices: DataFrame) -> DataFrame:
-        sets = whole_sets(stages.write(vertices.select("vertex").distinct()))
-        return stages.write(sets.mapInArrow(_tokens(counted), "vertex long, tokens array<bigint>"), batch_rows=500)
-
-    def alike(cells: DataFrame) -> DataFrame:
-        return cells.join(sketches.select("vertex", "sig"), "vertex").groupBy("bucket", "i", "j").applyInPandas(_alike(least), "a long, b long")
+    def linked(large: DataFrame) -> DataFrame:
+        needed = stages.write(large.select("vertex").distinct())
+        sets = whole_sets(needed)
+        sets = sets if counted else sets.drop("counts")
+        sizes = sets.select("vertex", F.octet_length("items").alias("size"))
+        cells = stages.write(cells_of(large.join(sizes, "vertex"), CELL, CELL_BYTES))
+        links = stages.write(cells.join(sets, "vertex").groupBy("bucket", "i", "j").applyInPandas(_linked(threshold, counted), "a long, b long"))
+        stages.drop(needed, cells)
+        return links
 
-    labels = components_of(members, links_of, alike, sets_of, threshold, stages)
+    labels = components_of(members, links_of, None, None, threshold, stages, linked=linked)
     with_class = rows.drop("bands", "sig").join(labels.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
     # a row without words has a class of its own: the name of its row, apart from all vertices (which are odd)
     with_class = stages.write(with_class.withColumn("component", F.coalesce("component", "vertex", F.col("uid") * 2)))
