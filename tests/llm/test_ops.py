@@ -389,6 +389,20 @@ def test_line_dedup_of_repetitive_lines(spark):
     assert {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(d, stages(spark)).collect()} == brute_lines(rows)
 
 
+def test_line_signatures_hash_each_run_once(spark):
+    """Long lines pass on few hashes, repetitive ones all; neither counts of runs nor encodings are computed in derived filters."""
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(3000)).strip()
+    again = long[:100] * 30
+    lines = [long, again, "abc", "-" * 60, long[:40]]
+    got = line_dedup.signatures(spark.createDataFrame(list(enumerate(lines)), "vertex long, line string"))
+    kinds = {(r["vertex"], r["kind"]): r["sig"] for r in got.collect()}
+    assert set(kinds) == {(0, 8), (1, 8), (2, 5), (3, 5), (4, 5), (4, 8)}
+    assert len(kinds[0, 8]) >= 12 and len(kinds[1, 8]) >= 14 and len(kinds[2, 5]) == len(kinds[3, 5]) == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "array_distinct" in x]
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(edge_docs(spark), stages(spark))
     assert out.count() == 9 and out.filter("n_kept < n_lines").count() == 2
