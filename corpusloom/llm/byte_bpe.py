@@ -22,14 +22,15 @@ from .stages import Stages
 
 #: Unicode white space, as the split pattern's \s means it; Java's own \s is ASCII only.
 _WS = r"\t-\r\x20\u0085   -     　"
-#: Buckets and slots of the rank map: primes, which hold up to about 150,000 pairs.
-BUCKETS, SLOTS = 32749, 200_003
+#: Buckets of the rank map: a prime, below what stands for the bucket of an empty slot.
+BUCKETS, EMPTY = 32749, (1 << 15) - 1
 #: Stands for "no rank": above all ranks.
 NONE = 1 << 17
 _ID_BITS = 20
 _ID = (1 << _ID_BITS) - 1
-#: Ranks are below 2**17, entries of the rank map 2**18 apart.
-_RANK_BITS = 18
+#: Ranks are below 2**17; an entry of the rank map has 15 bits of its bucket before them, less 2**31 to be an integer.
+_RANK_BITS = 17
+_LOWEST_ENTRY = -(1 << 31)
 #: Ends of a word, which merge with nothing; the first one, once a fold is done.
 END = NONE << _ID_BITS | _ID
 DONE = END + 1
@@ -71,15 +72,17 @@ class Tables:
     """The vocabulary, and what a fold looks up: ids of single bytes, ranks of byte pairs, a hash table of ranks of pairs."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        #: Stands for an end of a word in the number of a pair, above all ids.
+        self.end = max(ranks.values()) + 1
         entries = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    entries[a << _ID_BITS | b] = rank
+                    entries[a * (self.end + 1) + b] = rank
         pairs = [ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)]
-        shift, table = _perfect(entries)
-        lists = {"bytes": ([ranks[bytes([b])] for b in range(256)], pa.int64()), "pairs": (pairs, pa.int32()), "shift": (shift, pa.int32()), "table": (table, pa.int64())}
+        shift, table = _perfect(entries, (self.end + 1) ** 2)
+        lists = {"bytes": ([ranks[bytes([b])] for b in range(256)], pa.int64()), "pairs": (pairs, pa.int32()), "shift": (shift, pa.int32()), "table": (table, pa.int32())}
         self.lists = pa.table({name: pa.array([x], pa.list_(kind)) for name, (x, kind) in lists.items()})
         self.pieces = pa.array(_by_rank(ranks), pa.binary())
         text = {}
@@ -104,11 +107,13 @@ class Tables:
 
         The tables are literals that scalar subqueries bring in: in the expressions
         they would be hashed for every step, and printed with every plan.  Lambdas may
-        not hold subqueries and get them as a column that the optimizer inlines.
+        not hold subqueries and get them as a column that the optimizer inlines.  A task
+        has a copy for each mention of a table, nineteen of the rank map, which the
+        driver holds at once when it sends a stage: hence four bytes for an entry.
         """
         one_row = words.sparkSession.createDataFrame(self.lists)
         of = {name: one_row.select(name).scalar() for name in self.lists.column_names}
-        limit, end = F.lit(NONE << _ID_BITS), F.array(F.lit(END))
+        slots, limit, end = len(self.lists["table"][0]), F.lit(NONE << _ID_BITS), F.array(F.lit(END))
 
         def bound(value: Column, body) -> Column:
             return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -123,9 +128,12 @@ class Tables:
             return F.shiftleft(a, _ID_BITS).bitwiseOR(b)
 
         def piece(k: Column, table: Column = of["table"], shift: Column = of["shift"]) -> Column:
-            # the table's entry, less the key, is the rank if the entry is the key's own, else far from any rank
-            entry = F.get(table, ((k + F.get(shift, (k % BUCKETS).cast("int"))) % SLOTS).cast("int"))
-            return key(F.least(F.abs(entry - F.shiftleft(k, _RANK_BITS)), F.lit(NONE).cast("long")), rank(k))
+            # bucket and slot tell which pair it is; the entry, less the bucket, is the rank if it is that pair's, else below 0 or above all ranks
+            pair = F.least(rank(k), F.lit(self.end).cast("long")) * (self.end + 1) + F.least(id_of(k), F.lit(self.end).cast("long"))
+            bucket = pair % BUCKETS
+            entry = F.get(table, ((pair + F.get(shift, bucket.cast("int"))) % slots).cast("int"))
+            found = entry - F.lit(_LOWEST_ENTRY).cast("long") - F.shiftleft(bucket, _RANK_BITS)
+            return key(F.least(found.bitwiseAND(F.lit((1 << 62) - 1)), F.lit(NONE).cast("long")), rank(k))
 
         def around(e: Column, m: Column, p: Column) -> list[Column]:
             return [key(id_of(F.get(e, p - 2)), rank(m)), key(rank(m), id_of(F.get(e, p + 1)))]
@@ -176,25 +184,30 @@ class Tables:
         return d.withColumn("ids", ids).drop("__e", "__m", "__p", "__l", "__r", "__t")
 
 
-def _perfect(entries: dict[int, int]) -> tuple[list[int], list[int]]:
-    """A hash table without collisions: shifts by bucket, and ``key << 18 | rank`` by slot (0: empty)."""
+def _perfect(entries: dict[int, int], keys_below: int) -> tuple[list[int], list[int]]:
+    """A hash table without collisions, of 32 bits an entry: shifts by bucket, and ``bucket << 17 | rank`` by slot, less 2**31.
+
+    Buckets and slots are primes whose product is ``keys_below`` at least.  So a
+    key's bucket and slot tell which key it is, and an entry need not hold it.
+    """
+    slots = max(3 * len(entries) // 2, -(-keys_below // BUCKETS), BUCKETS + 1)
+    while not all(slots % i for i in range(2, int(slots**0.5) + 1)):
+        slots += 1
     buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
     for key in entries:
         buckets[key % BUCKETS].append(key)
-    shift, table = [0] * BUCKETS, [0] * SLOTS
+    shift, table = [0] * BUCKETS, [EMPTY << _RANK_BITS] * slots
+    free = [True] * slots
     for at in sorted(range(BUCKETS), key=lambda i: -len(buckets[i])):
         keys = buckets[at]
-        if len({k % SLOTS for k in keys}) < len(keys):
-            raise ValueError("two pairs share bucket and slot: other primes are needed")
-        while any(table[(k + shift[at]) % SLOTS] for k in keys):
+        while not all(free[(k + shift[at]) % slots] for k in keys):
             shift[at] += 1
-            if shift[at] >= SLOTS:
+            if shift[at] >= slots:
                 raise ValueError("the table of pairs is too small")
         for k in keys:
-            table[(k + shift[at]) % SLOTS] = k << _RANK_BITS | entries[k]
-    if 0 not in entries:  # an empty slot would pass for the pair 0, 0
-        table[shift[0] % SLOTS] = table[shift[0] % SLOTS] or -1 << 40
-    return shift, table
+            slot = (k + shift[at]) % slots
+            free[slot], table[slot] = False, at << _RANK_BITS | entries[k]
+    return shift, [x + _LOWEST_ENTRY for x in table]
 
 
 def _by_rank(ranks: dict[bytes, int]) -> list[bytes]:

@@ -293,6 +293,30 @@ def test_bpe_equals_tiktoken(spark):
     assert "text" not in narrow.columns and sorted((r["ids"], bytes(r["decoded"])) for r in narrow.collect()) == sorted((r["ids"], bytes(r["decoded"])) for r in rows)
 
 
+def test_rank_map_is_exact_in_four_bytes_an_entry():
+    public = pytest.importorskip("public_tokenizers")
+    ranks = byte_bpe.load_ranks(public.path(queries.TOKENIZER))
+    tables = byte_bpe.Tables(ranks)
+    # a task holds some twenty copies, and the driver all of them at once
+    assert tables.lists["table"].nbytes + tables.lists["shift"].nbytes < 800_000
+    table, shift = (tables.lists[name][0].as_py() for name in ("table", "shift"))
+    n, end = len(table), tables.end
+    assert byte_bpe.BUCKETS * n >= (end + 1) ** 2
+
+    def found(a, b):
+        pair = min(a, end) * (end + 1) + min(b, end)
+        entry = table[(pair + shift[pair % byte_bpe.BUCKETS]) % n] + (1 << 31)
+        return entry % (1 << 17) if entry >> 17 == pair % byte_bpe.BUCKETS else None
+
+    tokens = {rank: token for token, rank in ranks.items()}
+    splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    assert all(found(a, b) == r for a, b, r in splits)
+    rng = random.Random(3)
+    for a, b in ((rng.randrange(end), rng.randrange(end)) for _ in range(200_000)):
+        assert found(a, b) == ranks.get(tokens[a] + tokens[b])
+    assert all(found(a, byte_bpe._ID) is None and found(byte_bpe._ID, a) is None for a in range(end))
+
+
 def test_bpe_blocks(spark, monkeypatch):
     """Blocks of few words: numbering and assembly, apart from Spark."""
     docs = [["a", "b"], [], ["c"] * 5, ["a", "x"], None or []]
